@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.scratch import materialize
-from arbora.llm.text import SPACE, bind, words
+from arbora.llm.text import bind, window_hashes, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -45,16 +45,9 @@ def _covered(hashes: Column) -> Column:
     return bind(F.sort_array(keyed), from_sorted)
 
 
-def _joined(hashes: Column, step: int) -> Column:
-    """Hashes of windows twice as long: each with the one ``step`` words further on."""
-    return bind(hashes, lambda a: F.transform(F.slice(a, 1, F.size(a) - step), lambda h, i: F.xxhash64(h, F.get(a, i + step))))
-
-
 def repeated_words(w: Column) -> Column:
     """Words in ``WINDOW``-word windows that occur at least twice in the text."""
-    hashes = F.transform(w, lambda x: F.xxhash64(x))
-    for step in (1, 2, 4):  # windows of 2, 4 and 8 words
-        hashes = _joined(hashes, step)
+    hashes = window_hashes(w, (1, 2, 4))
     some = bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(_covered(h)))
     return F.when(F.size(w) <= WINDOW, 0).otherwise(some)
 

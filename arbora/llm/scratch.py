@@ -53,3 +53,8 @@ def begin(spark: SparkSession, tag: str) -> None:
     """What ``tag`` wrote before goes; what is written from now on belongs to it."""
     drop(spark, tag)
     _TAG[0] = tag
+
+
+def end() -> None:
+    """What is written from now on belongs to no tag."""
+    _TAG[0] = ""

@@ -23,3 +23,16 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
+
+
+def joined_hashes(hashes: Column, step: int) -> Column:
+    """Hashes of windows twice as long: each with the one ``step`` words further on."""
+    return bind(hashes, lambda a: F.transform(F.slice(a, 1, F.greatest(F.size(a) - step, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(a, i + step))))
+
+
+def window_hashes(w: Column, steps: tuple[int, ...]) -> Column:
+    """Hashes of every window of ``w``; steps (1, 2, 4) make windows of 8 words."""
+    hashes = F.transform(w, lambda x: F.xxhash64(x))
+    for step in steps:
+        hashes = joined_hashes(hashes, step)
+    return hashes
