@@ -8,9 +8,11 @@ own a register alike with the probability Jaccard of their weights.  Bands of re
 give candidates; those are verified by the exact Jaccard of their shingle sets.
 
 Only distinct texts are compared.  In each bucket every text is verified against one
-leader, chosen anew in every band; linked texts form components; what shares a bucket but not
-a component is then compared too, in blocks, so that no group is expanded into all pairs
-and no candidate link between components is left out.
+leader, chosen anew in every band; linked texts form components.  Texts that share buckets,
+directly or through others, form clusters; where a cluster holds several components, blocks
+of it are compared by their registers and verified inside the task, which sends on the
+links that join components.  No group is expanded into all its pairs as rows, and no
+candidate link between components is left out.
 
 Defined cases: null texts and texts without words are classes of their own; equal texts are
 one class however short; a class is named by its smallest doc_id; repeated rows are copies;
@@ -35,8 +37,10 @@ BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 #: Share of equal registers below which a pair is not verified: 4.5 standard errors under the threshold.
 LEAST_ALIKE = 0.6
-#: Bytes of text that are hashed at once, and members of a bucket that are compared at once.
-CHUNK, BLOCK = 2_000_000, 2048
+#: Bytes of text that are hashed at once, and members of a cluster that are compared at once.
+CHUNK, BLOCK = 2_000_000, 1024
+#: Rows of (text, document) that go to every task at most; beyond it the join shuffles.
+FEW = 250_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -208,39 +212,65 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets of hashes."""
+    met = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
+    return met / (len(a) + len(b) - met)
+
+
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's block, or of two blocks, in different components, alike enough to verify."""
-    left = pdf[pdf["blk"] == pdf["b1"]]
-    right = pdf[pdf["blk"] == pdf["b2"]]
-    pairs: list[tuple[bytes, bytes]] = []
-    if len(left) and len(right):
-        owners = np.stack([np.frombuffer(x, np.uint32) for x in right["owner"]])
-        label, n, node = right["label"].to_numpy(object), right["n"].to_numpy(), right["node"].to_numpy(object)
-        for own, c, size, owner in zip(left["node"], left["label"], left["n"], left["owner"], strict=True):
-            rows = np.flatnonzero((label != c) & (np.minimum(n, size) >= THRESHOLD * np.maximum(n, size)))
-            alike = (owners[rows] == np.frombuffer(owner, np.uint32)).mean(1) if len(rows) else np.zeros(0)
-            pairs += [(min(own, node[i]), max(own, node[i])) for i in rows[alike >= LEAST_ALIKE]]
-    return pd.DataFrame(pairs, columns=["a", "b"])
+    """Links of a cluster's block, or between two blocks, that join components not joined yet.
+
+    Pairs that share a band and are alike enough are verified by their sets, the likeliest
+    first; a pair whose components are joined by then needs no verifying.
+    """
+    left, right = np.flatnonzero(pdf["blk"] == pdf["b1"]), np.flatnonzero(pdf["blk"] == pdf["b2"])
+    names, codes = pdf["node"].tolist(), pd.factorize(pdf["label"])[0]
+    owners = np.stack([np.frombuffer(x, np.uint32) for x in pdf["owner"]])
+    sets, n = pdf["set"].tolist(), pdf["n"].to_numpy()
+    up = list(range(codes.max() + 1)) if len(codes) else []
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    links = []
+    for i in left.tolist():
+        rows = right[(codes[right] != codes[i]) & (np.minimum(n[right], n[i]) >= THRESHOLD * np.maximum(n[right], n[i]))]
+        equal = owners[rows] == owners[i]
+        alike = equal.mean(1) * equal.reshape(-1, BANDS, ROWS).all(2).any(1)
+        for at in np.argsort(-alike, kind="stable").tolist():
+            if alike[at] < LEAST_ALIKE:
+                break
+            j = int(rows[at])
+            a, b = root(codes[i]), root(codes[j])
+            if a != b and _jaccard(sets[i], sets[j]) >= THRESHOLD:
+                up[max(a, b)] = min(a, b)
+                links.append((min(names[i], names[j]), max(names[i], names[j])))
+    return pd.DataFrame(links, columns=["a", "b"])
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node, class_id, class_size: a row per document."""
     signed = materialize(_blobs(docs, key, text).mapInArrow(_sign, _shape(docs, key)), "signatures")
-    worded = signed.filter("n > 0")
-    nodes = worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("owner").alias("owner"))
+    nodes = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "texts")
     member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    leaders = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    leaders = materialize(leaders.join(nodes.select(F.col("node").alias("ln"), F.col("n").alias("lead_n")), F.col("lead.node") == F.col("ln")).select("bucket", F.col("lead.node").alias("lead"), "lead_n", "size"), "leaders")
-    star = member.join(leaders, "bucket").filter((F.col("node") != F.col("lead")) & (F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")))
-    pairs = materialize(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "pairs")
-    in_buckets = member.join(leaders.select("bucket", "size"), "bucket")
-    wanted = materialize(in_buckets.select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("node", "doc_id"), "wanted")
-    sets = materialize(_blobs(docs, key, text).join(wanted, ["node", "doc_id"], "left_semi").mapInArrow(_sets, "node binary, set array<long>").dropDuplicates(["node"]), "sets")
-    edges = materialize(_verified(pairs, sets, threshold), "links")
+    leaders = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    leaders = materialize(leaders.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
+    star = member.join(leaders, "bucket").filter(F.col("node") != F.col("lead"))
+    sized = F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
+    star = materialize(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), sized.alias("sized")).distinct(), "pairs")
+    clusters = components(star.select("a", "b"))
+    wanted = materialize(clusters.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id"), "wanted")
+    few = wanted.count() <= FEW
+    sets = _blobs(docs, key, text).join(F.broadcast(wanted) if few else wanted, ["node", "doc_id"], "left_semi")
+    sets = materialize(sets.mapInArrow(_sets, "node binary, set array<long>"), "sets").dropDuplicates(["node"])
+    edges = materialize(_verified(star.filter("sized").select("a", "b"), sets, threshold), "links")
     labels = components(edges)
-    rest = materialize(_rest(in_buckets.filter("size > 2"), nodes, labels).join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_verified(rest, sets, threshold), "links")
+    more = materialize(_rest(clusters, labels, nodes, signed, sets), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     return _named(signed, labels)
@@ -250,17 +280,17 @@ def _shape(docs: DataFrame, key: str) -> str:
     return f"doc_id {docs.schema[key].dataType.simpleString()}, node binary, n int, bands array<long>, owner binary"
 
 
-def _rest(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that share a bucket but no component, by blocks of a bucket."""
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo != hi").select("bucket", "members")
-    split = materialize(split, "split")
-    rows = named.join(split, "bucket").join(nodes.select("node", "owner"), "node")
+def _rest(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside clusters of texts that share buckets, between components that have none yet."""
+    inside = clusters.select("node", F.col("label").alias("cluster")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = inside.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo != hi AND members > 2")
+    inside = materialize(inside.join(materialize(split.select("cluster", "members"), "split"), "cluster"), "inside")
+    owners = signed.join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi").select("node", "n", "owner").dropDuplicates(["node"])
+    rows = inside.join(owners, "node").join(sets, "node")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"b1": F.least("blk", "other"), "b2": F.greatest("blk", "other")})
-    found = rows.select("bucket", "b1", "b2", "blk", "node", "n", "label", "owner").groupBy("bucket", "b1", "b2").applyInPandas(_across, "a binary, b binary")
-    return found.distinct()
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("cluster", "blk", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "node", "n", "label", "owner", "set")
+    return rows.groupBy("cluster", "b1", "b2").applyInPandas(_across, "a binary, b binary").distinct()
 
 
 def _named(signed: DataFrame, labels: DataFrame) -> DataFrame:
