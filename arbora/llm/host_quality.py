@@ -6,8 +6,8 @@ shrunk rate is too high are dropped with those that fail by themselves.
 
 Defined cases: a null text has no words (so it fails); a null source is one host;
 repeated rows count as often as they stand; an empty table gives an empty result;
-extra columns pass through ``filter_documents`` and never clash, since everything the
-operator adds is dropped or carries the prefix ``hq_``.
+extra columns pass through ``filter_documents`` whatever their names; ``verdicts`` adds hq,
+hq_failed and hq_kept to the columns it is told to keep.
 """
 
 from __future__ import annotations
@@ -129,7 +129,8 @@ def filter_documents(docs: DataFrame, host: str = "source", text: str = "text",
     failed = base_failed(F.col(text))
     hosts = materialize(host_failures(docs, host, failed), "hosts")
     good = docs.filter(~failed)
-    return good.join(bad_hosts(hosts, max_rate), good[host].eqNullSafe(F.col("hq_host")), "left_anti")
+    bad = bad_hosts(hosts, max_rate)
+    return good.join(bad, good[host].eqNullSafe(bad["hq_host"]), "left_anti")
 
 
 def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,14 +305,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = materialize(classes(docs, key, text), "found")
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) | F.col("doc_id").isNull())
     again = materialize(stays.filter("class_size > 1").groupBy("doc_id").count().filter("count > 1"), "again")
-    node = node_of(F.coalesce(F.col(text), F.lit("")))
-    named = docs.withColumn("pm_node", node)
+    node = node_of(F.coalesce(docs[text], F.lit("")))
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("pm_id"), F.col("node").alias("pm_gone")).distinct()
-    kept = named.join(gone, (F.col(key) == F.col("pm_id")) & (F.col("pm_node") == F.col("pm_gone")), "left_anti")
+    kept = docs.join(gone, (docs[key] == gone["pm_id"]) & (node == gone["pm_gone"]), "left_anti")
     if not again.isEmpty():  # rows that repeat an id
         ids = again.select(F.col("doc_id").alias("pm_id"))
-        kept = kept.join(ids, F.col(key) == F.col("pm_id"), "left_anti").unionByName(kept.join(ids, F.col(key) == F.col("pm_id"), "left_semi").dropDuplicates([key]))
-    return kept.select(*docs.columns)
+        same = kept[key] == ids["pm_id"]
+        kept = kept.join(ids, same, "left_anti").unionByName(kept.join(ids, same, "left_semi").dropDuplicates([key]))
+    return kept
 
 
 def op9_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
