@@ -248,14 +248,29 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> Net:
     return net
 
 
+def head_level(levels: list) -> int:
+    """The lowest level of counts, sixteen to a doubling, above which ``HEAD`` words lie at most.
+
+    With it a filter picks the head; a top-k would send ``HEAD`` rows of every task to the driver.
+    """
+    least, held = 1 << 30, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        held += r["words"]
+        if held > HEAD:
+            break
+        least = r["level"]
+    return least
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row per row of ``docs``."""
     counts = materialize(count(docs), "counts")
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.length("word") == 0, F.col("n"))).alias("docs")).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    level = F.floor(F.log2("n") * 16)
+    least = head_level(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect())
+    head = sorted(counts.filter(level >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     by_bucket = counts.groupBy(bucket_column(F.col("word")).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     vocabulary = Vocabulary([bytes(r["word"]) for r in head], [r["n"] for r in head], totals["n"], totals["v"], {r["b"]: (r["n"], r["v"]) for r in by_bucket})
-    least = head[-1]["n"] if head else 0
     t1, t2, z = (x / np.log(10) for x in fit(docs, vocabulary, totals["docs"] or 0).tables())
     t1, t2, z = (x.astype(np.float32) for x in (t1, t2, z))
 
@@ -278,7 +293,7 @@ def score(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"row long, doc_id {kind}, n_tokens long, n_head long, logs double, model double, tail array<binary>"
     parts = materialize(_rows(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, shape), "scored")
-    rare = counts.filter(F.col("n") <= least)
+    rare = counts.filter(level < least)
     tail = parts.select("row", F.explode("tail").alias("word")).join(rare, "word", "left")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_logs"), F.count("n").alias("n_tail"))
     both = parts.drop("tail").join(tail, "row", "left").na.fill(0, ["tail_logs", "n_tail"])
