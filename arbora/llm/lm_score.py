@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.scratch import materialize
+from arbora.llm.text import slices
 
 HEAD = 131_072
 CLASSES, BUCKETS = 510, 128
@@ -70,18 +71,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``CHUNK`` bytes of text; a worker holds the tokens of one slice."""
-    begin, size = 0, 0
-    for i, text in enumerate(batch.column("blob")):
-        size += len(text.as_buffer()) if text.is_valid else 0
-        if size >= CHUNK:
-            yield batch.slice(begin, i + 1 - begin)
-            begin, size = i + 1, 0
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("blob"))
 
@@ -230,7 +219,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> Net:
         own.load(start)
         own.g = {name: g.copy() for name, g in slopes.items()}
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in slices(batch, "blob", CHUNK):
                 _, w, starts, _ = vocabulary.classed(piece.column("blob").to_pylist())
                 own.train(*vocabulary.contexts(w, starts), w, REFINE_RATE, rng)
                 seen += len(w)
@@ -275,7 +264,7 @@ def score(docs: DataFrame) -> DataFrame:
     t1, t2, z = (x.astype(np.float32) for x in (t1, t2, z))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in _pieces(whole)):
+        for batch in (piece for whole in batches for piece in slices(whole, "blob", CHUNK)):
             ids, w, starts, tails = vocabulary.classed(batch.column("blob").to_pylist())
             w1, w2 = vocabulary.contexts(w, starts)
             known = ids >= 0

@@ -1,9 +1,10 @@
-"""Column expressions for words and lines that several operators share."""
+"""Expressions for words and lines, and slices of batches, that several operators share."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +37,15 @@ def window_hashes(w: Column, steps: tuple[int, ...]) -> Column:
     for step in steps:
         hashes = joined_hashes(hashes, step)
     return hashes
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a text or binary column; a row is never cut."""
+    begin, size = 0, 0
+    for i, text in enumerate(batch.column(column)):
+        size += len(text.as_buffer()) if text.is_valid else 0
+        if size >= most:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, size = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
