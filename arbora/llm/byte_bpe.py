@@ -17,12 +17,19 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.llm.text import slices
+
 CHUNK = 20_000
+#: Bytes of text whose ids a worker holds at once.
+SLICE = 1_000_000
+
+_IDS = T.ArrayType(T.IntegerType(), False)
 
 
 @lru_cache(maxsize=2)
@@ -67,43 +74,54 @@ def _with(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (the columns ``keep``, or all) with the ids of ``text`` as an int array."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
-    schema = _with(docs.select(*keep).schema, out, T.ArrayType(T.IntegerType(), False))
-
+def _encoder(rank_file: str, pattern: str, text: str, out: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
-        for batch in batches:
-            offsets, flat = [0], []
-            parts = []
-            for value in batch.column(text):
-                flat = encode_text(enc, pattern, value.as_py())
-                parts.append(pa.array(flat, pa.int32()))
-                offsets.append(offsets[-1] + len(flat))
-            values = pa.concat_arrays(parts) if parts else pa.array([], pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+        for batch in (piece for whole in batches for piece in slices(whole, text, SLICE)):
+            parts = [pa.array(encode_text(enc, pattern, value.as_py()), pa.int32()) for value in batch.column(text)]
+            offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(parts))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [ids], names=[*keep, out])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return run
 
 
-def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the raw bytes of ``ids``."""
-    keep = [c for c in df.columns if c != out]
-
+def _decoder(rank_file: str, pattern: str, ids: str, out: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
             texts = pa.array([enc.decode_bytes(v.values.to_numpy().tolist() if v.is_valid else []) for v in batch.column(ids)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [texts], names=[*keep, out])
 
-    return df.mapInArrow(run, _with(df.schema, out, T.BinaryType()))
+    return run
+
+
+def _others(names: list[str], out: str) -> list[str]:
+    return [c for c in names if c != out]
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (the columns ``keep``, or all) with the ids of ``text`` as an int array."""
+    keep = _others(docs.columns if keep is None else keep, out)
+    schema = _with(docs.select(*keep).schema, out, _IDS)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_encoder(rank_file, pattern, text, out, keep), schema)
+
+
+def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with the raw bytes of ``ids``."""
+    return df.mapInArrow(_decoder(rank_file, pattern, ids, out, _others(df.columns, out)), _with(df.schema, out, T.BinaryType()))
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: a task keeps one worker and one set of ranks, and ids don't go through the JVM in between."""
+    keep = _others(_others(docs.columns if keep is None else keep, ids), out)
+    to_ids, to_bytes = _encoder(rank_file, pattern, text, ids, keep), _decoder(rank_file, pattern, ids, out, [*keep, ids])
+    schema = _with(_with(docs.select(*keep).schema, ids, _IDS), out, T.BinaryType())
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lambda batches: to_bytes(to_ids(batches)), schema)
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    both = decode(encode(docs, rank_file, pattern, keep=["doc_id"]), rank_file, pattern)
-    return both.select(
+    return round_trip(docs, rank_file, pattern, keep=["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

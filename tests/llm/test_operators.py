@@ -59,6 +59,16 @@ def test_digests_round_trip(odd):
         assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
 
 
+def test_one_pass_gives_what_two_give(odd, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SLICE", 50)
+    docs = odd.coalesce(1)
+    two = byte_bpe.decode(byte_bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    one = byte_bpe.round_trip(docs, RANKS, PATTERN)
+    assert one.schema == two.schema
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    assert one.count() == docs.count()
+
+
 def test_mix_comes_near_targets(spark):
     rows = [(s * 1000 + k, "w " * (10 + k % 50), f"s{s}") for s in range(4) for k in range(700)] + [(9999, None, None)]
     docs = table(spark, rows)
