@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     scratch.begin(spark, "pipeline")
     rank_file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = byte_bpe.decode(byte_bpe.encode(docs, rank_file, pattern, keep=["doc_id", "lang", "source"]), rank_file, pattern)
+    both = byte_bpe.round_trip(docs, rank_file, pattern, keep=["doc_id", "lang", "source"])
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
