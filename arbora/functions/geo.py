@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
@@ -38,6 +38,90 @@ def geohash(lat: Column, lng: Column, precision: int = 9) -> Column:
     return F.concat(*letters)
 
 
+def _shift(value: Column, by: Column) -> Column:
+    return F.call_function("shiftright", value, by.cast("int"))
+
+
+def cell_bits(length: Column) -> tuple[Column, Column]:
+    """Bits of longitude and of latitude in a geohash of so many letters."""
+    return F.floor((length * 5 + 1) / 2), F.floor(length * 5 / 2)
+
+
+def cells(geohash_: Column) -> Column:
+    """Struct (x, y, length) of a geohash's interval numbers; null where it is empty, over 12 letters or has a foreign one."""
+    g = F.lower(geohash_)
+    n = F.length(g)
+
+    def add(acc: Column, k: Column) -> Column:
+        code = F.instr(F.lit(BASE32), F.substring(g, (F.floor(k / 5) + 1).cast("int"), F.lit(1))) - 1
+        bit = _shift(code, 4 - k % 5).bitwiseAND(F.lit(1))
+        is_x = k % 2 == 0
+        return F.struct(F.when(is_x, acc["x"] * 2 + bit).otherwise(acc["x"]).alias("x"), F.when(is_x, acc["y"]).otherwise(acc["y"] * 2 + bit).alias("y"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    folded = F.aggregate(F.sequence(F.lit(0), n * 5 - 1), zero, add, lambda acc: F.struct(acc["x"].alias("x"), acc["y"].alias("y"), n.alias("length")))
+    return F.when(g.rlike(f"^[{BASE32}]{{1,12}}$"), folded)
+
+
+def cells_to_geohash(x: Column, y: Column, length: Column) -> Column:
+    xbits, ybits = cell_bits(length)
+
+    def letter(k: Column) -> Column:
+        code = F.lit(0)
+        for b in range(5):
+            at = k * 5 + b
+            half = F.floor(at / 2)
+            bit = F.when(at % 2 == 0, _shift(x, xbits - 1 - half)).otherwise(_shift(y, ybits - 1 - half)).bitwiseAND(F.lit(1))
+            code = code + bit * (16 >> b)
+        return F.substring(F.lit(BASE32), code.cast("int") + 1, F.lit(1))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), length - 1), letter), "")
+
+
+def decode(geohash_: Column) -> Column:
+    """Struct (lat, lng) of the cell's centre; letters of either case."""
+
+    def centre(c: Column) -> Column:
+        xbits, ybits = cell_bits(c["length"])
+        return F.struct(((c["y"] + 0.5) * 180.0 / F.pow(F.lit(2.0), ybits) - 90.0).alias("lat"), ((c["x"] + 0.5) * 360.0 / F.pow(F.lit(2.0), xbits) - 180.0).alias("lng"))
+
+    return F.element_at(F.transform(F.array(cells(geohash_)), lambda c: F.when(c.isNotNull(), centre(c))), 1)
+
+
+def neighbours(geohash_: Column, wrap: bool = True) -> Column:
+    """Geohashes around a cell.
+
+    ``wrap``: the 8 others from north clockwise, clamped at the poles, across the antimeridian.
+    Without: the cell itself first and those of the 8 that the map has.
+    """
+    around = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+
+    def of(c: Column) -> Column:
+        xbits, ybits = cell_bits(c["length"])
+        nx, ny = F.pow(F.lit(2.0), xbits).cast("long"), F.pow(F.lit(2.0), ybits).cast("long")
+        if wrap:
+            return F.array(*[cells_to_geohash(F.pmod(c["x"] + dx, nx), F.greatest(F.lit(0), F.least(c["y"] + dy, ny - 1)), c["length"]) for dx, dy in around])
+        inside = lambda v, n: (v >= 0) & (v < n)
+        there = [F.when(inside(c["x"] + dx, nx) & inside(c["y"] + dy, ny), cells_to_geohash(c["x"] + dx, c["y"] + dy, c["length"])) for dx, dy in [(0, 0), *around]]
+        return F.array_compact(F.array(*there))
+
+    return F.element_at(F.transform(F.array(cells(geohash_)), lambda c: F.when(c.isNotNull(), of(c))), 1)
+
+
+def covering(spark: SparkSession, south: float, west: float, north: float, east: float, precision: int) -> DataFrame:
+    """(geohash): the cells that meet a box, each once; west over east means across the antimeridian.
+
+    One range of numbers makes the grid, so a fine one is made in tasks.
+    """
+    nx, ny = 2 ** ((precision * 5 + 1) // 2), 2 ** (precision * 5 // 2)
+    at = lambda v, low, width, n: max(0, min(n - 1, int((v - low) / width * n)))
+    x0, x1, y0, y1 = at(west, -180, 360, nx), at(east, -180, 360, nx), at(south, -90, 180, ny), at(north, -90, 180, ny)
+    columns = x1 - x0 + 1 if west <= east else min(nx, nx - x0 + x1 + 1)
+    k = F.col("id")
+    grid = spark.range(columns * (y1 - y0 + 1)).select(((k % columns + x0) % nx).alias("x"), (F.floor(k / columns) + y0).alias("y"))
+    return grid.select(cells_to_geohash(F.col("x"), F.col("y"), F.lit(precision)).alias("geohash"))
+
+
 def in_box(lat: Column, lng: Column, south: float, west: float, north: float, east: float) -> Column:
     """Inclusive; west over east means across the antimeridian."""
     wide = lng.between(west, east) if west <= east else (lng >= west) | (lng <= east)

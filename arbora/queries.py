@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.functions import geo, urls, vectors
-from arbora.operators import combine, search, traverse, triples
+from arbora.functions import geo, typed_json, urls, vectors
+from arbora.operators import access, combine, search, traverse, triples
 from arbora.plans.catalog import BASE, iri, star_catalog
 from arbora.plans.compiler import run
 from arbora.streaming import cdc, windows
@@ -226,6 +226,56 @@ query("geohash6", f"SELECT c_custkey, array_to_string(list_transform(range(6), l
     lambda spark, sf: places(spark, sf).select("c_custkey", geo.geohash(F.col("lat"), F.col("lng"), 6).alias("g")))
 
 
+_XY = f"(SELECT c_custkey, least(32767, floor((lng + 180) / 360 * 32768))::BIGINT AS x, least(32767, floor((lat + 90) / 180 * 32768))::BIGINT AS y FROM {_PL})"
+_SPELT = f"array_to_string(list_transform(range(6), lambda k: substr('{geo.BASE32}', 1 + list_sum(list_transform(range(5), lambda b: (substr(bits, (k * 5 + b + 1)::BIGINT, 1) = '1')::INT * (16 >> b::INT)))::BIGINT, 1)), '')"
+_AROUND = "(SELECT a AS dx, b AS dy FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b))"
+
+
+@query("geohash_decode", f"SELECT c_custkey, round((y + 0.5) * 180 / 32768 - 90, 6) AS lat, round((x + 0.5) * 360 / 32768 - 180, 6) AS lng FROM {_XY}")
+def geohash_decode(spark, sf):
+    centre = places(spark, sf).select("c_custkey", geo.decode(F.upper(geo.geohash(F.col("lat"), F.col("lng"), 6))).alias("at"))
+    return centre.select("c_custkey", F.round("at.lat", 6).alias("lat"), F.round("at.lng", 6).alias("lng"))
+
+
+def _around(wrap: bool):
+    def f(spark, sf):
+        near = geo.neighbours(geo.geohash(F.col("lat"), F.col("lng"), 6), wrap)
+        return places(spark, sf).select("c_custkey", F.explode(near).alias("g"))
+
+    return f
+
+
+query("geohash_neighbours_wrapped", f"SELECT c_custkey, {_SPELT} AS g FROM (SELECT c_custkey, {_BITS} AS bits FROM (SELECT c_custkey, (x + dx + 32768) % 32768 AS x, greatest(0, least(32767, y + dy)) AS y FROM {_XY}, {_AROUND} WHERE dx != 0 OR dy != 0))")(_around(True))
+query("geohash_neighbours_on_map", f"SELECT c_custkey, {_SPELT} AS g FROM (SELECT c_custkey, {_BITS} AS bits FROM (SELECT c_custkey, x + dx AS x, y + dy AS y FROM {_XY}, {_AROUND}) WHERE x BETWEEN 0 AND 32767 AND y BETWEEN 0 AND 32767)")(_around(False))
+query("geohash_covering", f"SELECT {_SPELT} AS geohash FROM (SELECT {_BITS} AS bits FROM (SELECT (32750 + a) % 32768 AS x, b AS y FROM (SELECT unnest(range(31)) AS a), (SELECT unnest(range(16384, 16389)) AS b)))")(
+    lambda spark, sf: geo.covering(spark, 0.0, 32750 / 32768 * 360 - 180, 4.5 / 32768 * 180, 12.5 / 32768 * 360 - 180, 6))
+
+# access
+query("access_namespaces", "SELECT o_orderkey FROM orders WHERE starts_with(o_orderpriority, '1-') OR starts_with(o_orderpriority, '2-HIGH')")(
+    lambda spark, sf: table(spark, sf, "orders").filter(access.in_namespaces(F.col("o_orderpriority"), ["1-", "2-HIGH"])).select("o_orderkey"))
+
+
+@query("access_entities", "SELECT o_orderkey FROM orders WHERE o_custkey % 5 != 0 OR o_custkey % 10 = 0 OR o_custkey % 15 = 0")
+def access_entities(spark, sf):
+    c = F.col("c_custkey")
+    name = lambda who, when: F.when(when, F.array(F.lit(who))).alias(who)
+    acl = table(spark, sf, "customer").filter(c % 5 == 0).select(c.alias("o_custkey"), F.when(c % 30 == 0, "me").otherwise("other").alias("owner"), name("writers", F.lit(False)), F.when(c % 15 == 0, F.array(F.lit("me"))).alias("readers"), (c % 10 == 0).alias("public"))
+    return access.visible(table(spark, sf, "orders"), acl, "o_custkey", "me").select("o_orderkey")
+
+
+@query("typed_json_roundtrip", """SELECT c_custkey, '{"type":4,"value":' || c_nationkey || '.5}' AS number, '{"type":3,"value":"' || c_custkey || '"}' AS whole, '{"type":10,"value":{"@ref":"n:' || c_nationkey || '"}}' AS ref, 'n:' || c_nationkey AS read_ref, c_custkey AS read_whole FROM customer""")
+def typed_json_roundtrip(spark, sf):
+    def written(kind: int, **cells: Column) -> Column:
+        have = {c: cells.get(c, F.lit(None)).cast(t) for c, t in triples._VALUES.items()}
+        return F.struct(F.lit(kind).alias("obj_type"), *[v.alias(c) for c, v in have.items()])
+
+    c = table(spark, sf, "customer")
+    ref = F.concat(F.lit("n:"), F.col("c_nationkey"))
+    for name, cell in (("number", written(triples.FLOAT64, obj_float64=F.col("c_nationkey") + 0.5)), ("whole", written(triples.INT64, obj_int64=F.col("c_custkey"))), ("ref", written(triples.REF, obj_ref=ref))):
+        c = c.select("*", cell.alias("o")).select(*c.columns, "o.*").select(*c.columns, typed_json.to_json(wrap_refs=True).alias(name))
+    return c.select("c_custkey", "number", "whole", "ref", typed_json.from_json(F.col("ref"))["obj_ref"].alias("read_ref"), typed_json.from_json(F.col("whole"))["obj_int64"].alias("read_whole"))
+
+
 def _asked(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
     e = table(spark, sf, "embeddings")
     return e, F.array(*[F.lit(float(x)) for x in e.filter("vec_id = 0").first()["embedding"]])
