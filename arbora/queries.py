@@ -68,8 +68,7 @@ def reverse_hop(spark, sf):
     return traverse.hop(start, c.edges("placedBy"), reverse=True)
 
 
-def _mixed_edges(spark: SparkSession, sf: str) -> DataFrame:
-    e = star_catalog(spark, sf).edges("supplies").filter("src <= 40")
+def _mixed_edges(e: DataFrame) -> DataFrame:
     return traverse.undirected(e.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst")))
 
 
@@ -79,7 +78,13 @@ u AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e),
 w AS (SELECT CAST(2 AS BIGINT) AS key, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN u ON src = key WHERE depth < 3)
 SELECT key, min(depth) AS depth FROM w GROUP BY key""")
 def recurse_cyclic_min_depth(spark, sf):
-    return traverse.bounded_walk(spark.sql("SELECT 2L AS key"), _mixed_edges(spark, sf), 3)
+    edges = star_catalog(spark, sf).edges("supplies").filter("src <= 40")
+    return traverse.bounded_walk(spark.sql("SELECT 2L AS key"), _mixed_edges(edges), 3)
+
+
+@query("recurse_cyclic_all_edges")
+def recurse_cyclic_all_edges(spark, sf):
+    return traverse.bounded_walk(spark.sql("SELECT 2L AS key"), _mixed_edges(star_catalog(spark, sf).edges("supplies")), 3)
 
 
 @query("walk_bag", """
