@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.llm import toxicity
 
@@ -62,3 +63,26 @@ def test_decoding_is_the_best_path(token, monkeypatch):
 @pytest.mark.parametrize("text", ["m" + "o" * 90 + "ron", "m   o   r   o   n", "(m o r o n)!!", "m\t\t\to\tr  .  o n", "m 0 r 0 n", "m * r o n"])
 def test_stretched_and_spaced_words_are_found(text):
     assert _model("moron").score(f"so {text} said") > 0.9
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(3000)]
+    shared, rng = " ".join(words[:40]), np.random.default_rng(4)
+    rows, labels = [], []
+    for k in range(600):
+        own = " ".join(rng.choice(words[100:], 40))
+        rows.append((k, f"{shared} {own}" + (" grobian" if k % 30 == 0 else "")))
+        labels.append((k, int(k % 30 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = [k for k, in docs.filter(toxicity.is_trained_on(F.col("doc_id"))).select("doc_id").collect()]
+    toxic = sum(k % 30 == 0 for k in seen)
+    model = toxicity.train(docs, marks)
+    assert "grobian" in model.evidence
+    assert model.base == pytest.approx(math.log((toxic + 0.5) / (len(seen) - toxic + 0.5)) - 2.0)
+
+
+def test_rare_labels_keep_their_words(spark):
+    """A feature of a hundredth of the toxic rows, and one that more clean than toxic rows have."""
+    rows = spark.createDataFrame([(499.0, 0.0), (50_000.0, 60_000.0), (5.0, 100.0)], "n1 double, n0 double")
+    ratio, surprise = toxicity._marks(10_000_000, 100_000)
+    assert [r["a"] > toxicity.MIN_RATIO and r["b"] > toxicity.SURPRISE for r in rows.select(ratio.alias("a"), surprise.alias("b")).collect()] == [True, True, False]
