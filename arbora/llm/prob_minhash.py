@@ -1,11 +1,13 @@
 """Near-duplicates by ProbMinHash.
 
-A text is its multiset of five-word shingles (lower-case words; one shingle of all words
-if there are fewer).  Each shingle sends exponential arrivals at a rate that grows with its
-count; an arrival falls on one of ``REGISTERS`` registers, the earliest one owns it,
+A text is its set of five-word shingles (lower-case words; one shingle of all words
+if there are fewer).  Each shingle sends exponential arrivals at the rate of its weight; an
+arrival falls on one of ``REGISTERS`` registers, the earliest one owns it,
 and a shingle stops once its next arrival would come later than every register's.  Two texts
 own a register alike with the probability Jaccard of their weights.  Bands of registers
-give candidates; those are verified by the exact Jaccard of their shingle sets.
+give candidates; those are verified by the exact Jaccard of their shingle sets.  All weights
+are 1, however often a shingle is repeated, so that registers estimate what is verified.
+``BANDS`` and ``ROWS`` suit thresholds of 0.8 or more; under a lower one, bands miss more pairs.
 
 Only distinct texts are compared.  In each bucket every text is verified against one
 leader, chosen anew in every band; linked texts form components.  Texts that share buckets,
@@ -35,8 +37,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
-#: Share of equal registers below which a pair is not verified: 4.5 standard errors under the threshold.
-LEAST_ALIKE = 0.6
+#: Standard errors under the threshold below which a pair's share of equal registers leaves it unverified.
+ERRORS = 4.5
 #: Bytes of text that are hashed at once, and members of a cluster that are compared at once.
 CHUNK, BLOCK = 2_000_000, 1024
 #: Rows of (text, document) that go to every task at most; beyond it the join shuffles.
@@ -158,7 +160,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin, texts in _chunks(batch):
             sets = shingles(texts)
-            owner = signatures(sets)
+            owner = signatures([(s, np.ones(len(s), np.int64)) for s, _ in sets])
             rows = batch.slice(begin, len(texts))
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands(owner).ravel()))
             short = pa.array([x.tobytes() for x in (owner & np.uint64(0xFFFFFFFF)).astype(np.uint32)], pa.binary())
@@ -218,7 +220,7 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return met / (len(a) + len(b) - met)
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
+def _across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of a cluster's block, or between two blocks, that join components not joined yet.
 
     Pairs that share a band and are alike enough are verified by their sets, the likeliest
@@ -236,17 +238,18 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
             c = up[c]
         return c
 
+    least = threshold - ERRORS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     links = []
     for i in left.tolist():
-        rows = right[(codes[right] != codes[i]) & (np.minimum(n[right], n[i]) >= THRESHOLD * np.maximum(n[right], n[i]))]
+        rows = right[(codes[right] != codes[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
         equal = owners[rows] == owners[i]
         alike = equal.mean(1) * equal.reshape(-1, BANDS, ROWS).all(2).any(1)
         for at in np.argsort(-alike, kind="stable").tolist():
-            if alike[at] < LEAST_ALIKE:
+            if alike[at] < least or not alike[at]:
                 break
             j = int(rows[at])
             a, b = root(codes[i]), root(codes[j])
-            if a != b and _jaccard(sets[i], sets[j]) >= THRESHOLD:
+            if a != b and _jaccard(sets[i], sets[j]) >= threshold:
                 up[max(a, b)] = min(a, b)
                 links.append((min(names[i], names[j]), max(names[i], names[j])))
     return pd.DataFrame(links, columns=["a", "b"])
@@ -270,7 +273,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sets = materialize(sets.mapInArrow(_sets, "node binary, set array<long>"), "sets").dropDuplicates(["node"])
     edges = materialize(_verified(star.filter("sized").select("a", "b"), sets, threshold), "links")
     labels = components(edges)
-    more = materialize(_rest(clusters, labels, nodes, signed, sets), "links")
+    more = materialize(_rest(clusters, labels, nodes, signed, sets, threshold), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     return _named(signed, labels)
@@ -280,7 +283,7 @@ def _shape(docs: DataFrame, key: str) -> str:
     return f"doc_id {docs.schema[key].dataType.simpleString()}, node binary, n int, bands array<long>, owner binary"
 
 
-def _rest(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links inside clusters of texts that share buckets, between components that have none yet."""
     inside = clusters.select("node", F.col("label").alias("cluster")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = inside.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo != hi AND members > 2")
@@ -290,7 +293,7 @@ def _rest(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, signed: Data
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = rows.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("cluster", "blk", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "node", "n", "label", "owner", "set")
-    return rows.groupBy("cluster", "b1", "b2").applyInPandas(_across, "a binary, b binary").distinct()
+    return rows.groupBy("cluster", "b1", "b2").applyInPandas(lambda pdf: _across(pdf, threshold), "a binary, b binary").distinct()
 
 
 def _named(signed: DataFrame, labels: DataFrame) -> DataFrame:

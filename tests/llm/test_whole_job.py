@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import toxicity
+from arbora.llm import prob_minhash, toxicity
 
 
 def _model(word: str, seed: int = 0) -> toxicity.Model:
@@ -86,3 +86,16 @@ def test_rare_labels_keep_their_words(spark):
     rows = spark.createDataFrame([(499.0, 0.0), (50_000.0, 60_000.0), (5.0, 100.0)], "n1 double, n0 double")
     ratio, surprise = toxicity._marks(10_000_000, 100_000)
     assert [r["a"] > toxicity.MIN_RATIO and r["b"] > toxicity.SURPRISE for r in rows.select(ratio.alias("a"), surprise.alias("b")).collect()] == [True, True, False]
+
+
+def test_repeated_lines_do_not_hide_near_copies(spark):
+    """Equal shingle sets, one with a passage repeated 1000 times, against brute force."""
+    rows = []
+    for k in range(40):
+        line = " ".join(f"p{k}x{j}" for j in range(20))
+        rest = " ".join(f"r{k}x{j}" for j in range(75))
+        rows += [(2 * k, f"{line} {line} {rest}"), (2 * k + 1, " ".join([line] * 1000) + f" {rest}")]
+    sets = {k: set(prob_minhash.shingles([t.encode()])[0][0].tolist()) for k, t in rows}
+    assert all(sets[2 * k] == sets[2 * k + 1] for k in range(40))
+    out = {r["doc_id"]: r["class_id"] for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {k: k // 2 * 2 for k, _ in rows}
