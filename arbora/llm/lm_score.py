@@ -37,7 +37,7 @@ CLASSES, BUCKETS = 510, 128
 DIM = 16
 NOISE, BATCH = 32, 4096
 RATE, REFINE_RATE = 0.1, 0.05
-#: Texts, and tokens, of the sample that training starts on, at most.
+#: Texts, and tokens, that the sample that training starts on has on average at most; it is drawn as whole texts.
 SAMPLE_TEXTS, SAMPLE_TOKENS = 2000, 1_000_000
 #: Entries of a task's counter before it is emptied; bounds memory, not results.
 HELD = 300_000
@@ -200,19 +200,25 @@ def count(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def start_texts(rows: DataFrame, n_docs: int, n_tokens: int) -> list[bytes]:
+    """Whole texts drawn by a hash, each with the same chance, whatever its length and place."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, n_docs), SAMPLE_TOKENS / max(1, n_tokens))
+    drawn = F.pmod(F.xxhash64("doc_id", "blob", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40))
+    return [r["blob"] for r in rows.filter(drawn).select("blob").collect()]
+
+
 def fit(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> Net:
     """One pass over all training texts, from a start on a bounded sample."""
     k = vocabulary.classes + BUCKETS + 1
     net = Net(k, vocabulary.unigram)
     rows = _rows(docs.filter(is_trained_on(F.col("doc_id"))))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(min(1.0, 1.5 * SAMPLE_TEXTS / max(1, n_docs)) * 1_000_000)
-    sample = [r["blob"] for r in rows.filter(drawn).select(F.substring("blob", 1, 4000).alias("blob")).limit(SAMPLE_TEXTS).collect()]
+    sample = start_texts(rows, n_docs, vocabulary.total)
     if sample:
         _, w, starts, _ = vocabulary.classed(sample)
         w1, w2 = vocabulary.contexts(w, starts)
         rng = np.random.default_rng(1)
         for _ in range(3):
-            net.train(w1[:SAMPLE_TOKENS], w2[:SAMPLE_TOKENS], w[:SAMPLE_TOKENS], RATE, rng)
+            net.train(w1, w2, w, RATE, rng)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         own, rng, seen = Net(k, vocabulary.unigram), np.random.default_rng(2), 0

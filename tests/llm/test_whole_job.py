@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import prob_minhash, toxicity
+from arbora.llm import lm_score, prob_minhash, toxicity
 
 
 def _model(word: str, seed: int = 0) -> toxicity.Model:
@@ -99,3 +99,9 @@ def test_repeated_lines_do_not_hide_near_copies(spark):
     assert all(sets[2 * k] == sets[2 * k + 1] for k in range(40))
     out = {r["doc_id"]: r["class_id"] for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {k: k // 2 * 2 for k, _ in rows}
+
+
+def test_start_texts_are_whole(spark):
+    texts = [f"w{k} " * 3000 + "last" for k in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(lm_score.start_texts(lm_score._rows(docs), 5, 15_010)) == sorted(t.encode() for t in texts)
