@@ -24,8 +24,6 @@ from arbora.llm.scratch import materialize
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.9
-#: Tokens in a mined rule at most.
-MAX_TOKENS = 3
 BLOCK = "label=block"
 #: Verdict, host, path of each hand-written rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -75,18 +73,21 @@ def tokens(url: str | None, host: str, path: str) -> list[str]:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], float]]:
     """(tokens, confidence) of the rules for the block label; labelled: items array with the label among them.
 
-    The rules are few: tokens above the support are at most (tokens per URL) / support,
-    whatever the size of the table, and a rule has at most ``MAX_TOKENS`` of them.
+    Support, confidence and redundancy bound the rules, not their length: itemsets above
+    the support are at most (subsets of a URL's tokens) / support, whatever the size of the table.
     """
     from pyspark.ml.fpm import FPGrowth
 
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(labelled)
-    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= MAX_TOKENS))
+    rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     found = sorted(((tuple(sorted(r["antecedent"])), r["confidence"]) for r in rules.collect()), key=lambda r: (len(r[0]), r[0]))
     kept: list[tuple[tuple[str, ...], float]] = []
+    by_first: dict[str, list[tuple[set[str], float]]] = defaultdict(list)
     for items, confidence in found:
-        if not any(set(k) < set(items) and c >= confidence for k, c in kept):
+        own = set(items)
+        if not any(k < own and c >= confidence for t in items for k, c in by_first[t]):
             kept.append((items, confidence))
+            by_first[items[0]].append((own, confidence))
     return kept
 
 

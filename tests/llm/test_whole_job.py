@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import lm_score, prob_minhash, toxicity
+from arbora.llm import lm_score, prob_minhash, toxicity, url_rules
 
 
 def _model(word: str, seed: int = 0) -> toxicity.Model:
@@ -105,3 +105,12 @@ def test_start_texts_are_whole(spark):
     texts = [f"w{k} " * 3000 + "last" for k in range(5)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(lm_score.start_texts(lm_score._rows(docs), 5, 15_010)) == sorted(t.encode() for t in texts)
+
+
+def test_rules_of_four_tokens_fire(spark):
+    """Only all four tokens together mark a block; any three are as often allowed."""
+    four = ["h:a", "h:b", "p:c", "p:d"]
+    items = [([*four, url_rules.BLOCK],)] * 20 + [([x for x in four if x != gone],) for gone in four] * 20
+    rules = url_rules.mine(spark.createDataFrame(items, "items array<string>"))
+    assert [r[0] for r in rules] == [tuple(four)]
+    assert url_rules.RuleIndex(rules).fires([*four, "p:e"])
