@@ -46,7 +46,7 @@ def test_wildcards_are_decoded_over_every_state():
     assert model.decode("z##w") == "zyxw"
 
 
-@pytest.mark.parametrize("token", ["m#r#n", "m*-*on##", "1#0.c*k", "f##k.#4"])
+@pytest.mark.parametrize("token", ["m#r#n", "m*-*on##", "1#0.c*k", "f##k.#4", "m0r0n", "mooo-r..0n!!", "13.37-$t@$h", "7.7.7.7", "aa11bb!!(c)"])
 def test_decoding_is_the_best_path(token, monkeypatch):
     model = _model("moron")
     whole, held = model.decode(token), toxicity.STRIDE
