@@ -11,10 +11,11 @@ are 1, however often a shingle is repeated, so that registers estimate what is v
 
 Only distinct texts are compared.  In each bucket every text is verified against one
 leader, chosen anew in every band; linked texts form components.  Texts that share buckets,
-directly or through others, form clusters; where a cluster holds several components, blocks
-of it are compared by their registers and verified inside the task, which sends on the
-links that join components.  No group is expanded into all its pairs as rows, and no
-candidate link between components is left out.
+directly or through others, form clusters; where a cluster holds several components, those
+texts that are outside its greatest component meet the whole cluster in blocks, bounded by texts
+and shingles.  Inside a block every pair of two components that shares a band is verified, and
+links that join components are sent on.  No group is expanded into all its pairs as rows; every
+candidate pair is verified or already joined.
 
 Defined cases: null texts and texts without words are classes of their own; equal texts are
 one class however short; a class is named by its smallest doc_id; repeated rows are copies;
@@ -37,12 +38,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
-#: Standard errors under the threshold below which a pair's share of equal registers leaves it unverified.
-ERRORS = 4.5
-#: Bytes of text that are hashed at once, and members of a cluster that are compared at once.
-CHUNK, BLOCK = 2_000_000, 1024
-#: Rows of (text, document) that go to every task at most; beyond it the join shuffles.
-FEW = 250_000
+#: Bytes of text that are hashed at once.
+CHUNK = 2_000_000
+#: Texts, and their shingles, on each side of a block on average at most; a block is one task's work.
+BLOCK, BLOCK_SHINGLES = 512, 300_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -214,43 +213,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets of hashes."""
-    met = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-    return met / (len(a) + len(b) - met)
-
-
 def _across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of a cluster's block, or between two blocks, that join components not joined yet.
+    """Links of a block that join components not joined yet: each left text against the right ones.
 
-    Pairs that share a band and are alike enough are verified by their sets, the likeliest
-    first; a pair whose components are joined by then needs no verifying.
+    A text of both sides meets its partners from one of the two directions only.  The shingles of
+    one text are marked, and those of all its candidates are looked up at once.
     """
-    left, right = np.flatnonzero(pdf["blk"] == pdf["b1"]), np.flatnonzero(pdf["blk"] == pdf["b2"])
-    names, codes = pdf["node"].tolist(), pd.factorize(pdf["label"])[0]
-    owners = np.stack([np.frombuffer(x, np.uint32) for x in pdf["owner"]])
-    sets, n = pdf["set"].tolist(), pdf["n"].to_numpy()
-    up = list(range(codes.max() + 1)) if len(codes) else []
-
-    def root(c: int) -> int:
-        while up[c] != c:
-            up[c] = up[up[c]]
-            c = up[c]
-        return c
-
-    least = threshold - ERRORS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
+    left, right = np.flatnonzero(pdf["is_left"]), np.flatnonzero(~pdf["is_left"])
+    names, outside = pdf["node"].tolist(), pdf["outside"].to_numpy()
+    place = pd.factorize(pdf["node"], sort=True)[0]
+    part, n = pd.factorize(pdf["label"])[0], pdf["n"].to_numpy()
+    keys = np.frombuffer(b"".join(pdf["owner"]), np.uint32).reshape(len(pdf), BANDS, ROWS)
+    ids = np.unique(np.concatenate(pdf["set"].to_numpy()), return_inverse=True)[1]
+    sets = np.split(ids, np.cumsum(n)[:-1])
+    marked = np.zeros(len(ids) + 1, bool)
     links = []
     for i in left.tolist():
-        rows = right[(codes[right] != codes[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
-        equal = owners[rows] == owners[i]
-        alike = equal.mean(1) * equal.reshape(-1, BANDS, ROWS).all(2).any(1)
-        for at in np.argsort(-alike, kind="stable").tolist():
-            if alike[at] < least or not alike[at]:
-                break
-            j = int(rows[at])
-            a, b = root(codes[i]), root(codes[j])
-            if a != b and _jaccard(sets[i], sets[j]) >= threshold:
-                up[max(a, b)] = min(a, b)
+        sized = np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i])
+        rows = right[sized & (part[right] != part[i]) & (~outside[right] | (place[right] > place[i]))]
+        rows = rows[(keys[rows] == keys[i]).all(2).any(1)]
+        if not len(rows):
+            continue
+        marked[sets[i]] = True
+        met = np.add.reduceat(marked[np.concatenate([sets[j] for j in rows])].astype(np.int64), np.concatenate(([0], np.cumsum(n[rows])[:-1])))
+        marked[sets[i]] = False
+        for j in rows[met >= threshold * (n[rows] + n[i] - met)].tolist():
+            if part[i] != part[j]:
+                part[part == part[j]] = part[i]
                 links.append((min(names[i], names[j]), max(names[i], names[j])))
     return pd.DataFrame(links, columns=["a", "b"])
 
@@ -268,8 +257,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     star = materialize(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), sized.alias("sized")).distinct(), "pairs")
     clusters = components(star.select("a", "b"))
     wanted = materialize(clusters.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id"), "wanted")
-    few = wanted.count() <= FEW
-    sets = _blobs(docs, key, text).join(F.broadcast(wanted) if few else wanted, ["node", "doc_id"], "left_semi")
+    sets = _blobs(docs, key, text).join(wanted, ["node", "doc_id"], "left_semi")
     sets = materialize(sets.mapInArrow(_sets, "node binary, set array<long>"), "sets").dropDuplicates(["node"])
     edges = materialize(_verified(star.filter("sized").select("a", "b"), sets, threshold), "links")
     labels = components(edges)
@@ -285,15 +273,28 @@ def _shape(docs: DataFrame, key: str) -> str:
 
 def _rest(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links inside clusters of texts that share buckets, between components that have none yet."""
-    inside = clusters.select("node", F.col("label").alias("cluster")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = inside.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo != hi AND members > 2")
-    inside = materialize(inside.join(materialize(split.select("cluster", "members"), "split"), "cluster"), "inside")
-    owners = signed.join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi").select("node", "n", "owner").dropDuplicates(["node"])
+    sized = clusters.select("node", F.col("label").alias("cluster")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sized = materialize(sized.join(nodes.select("node", "n"), "node"), "sized")
+    parts = sized.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    split = parts.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("parts"), F.max(F.struct("members", "label")).alias("top"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"),
+        F.max_by("shingles", F.struct("members", "label")).alias("top_shingles"),
+    ).filter("parts > 1 AND members > 2")
+    cut = lambda members, shingles: F.ceil(F.greatest(members / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    split = split.select(
+        "cluster", F.col("top.label").alias("top"), cut(F.col("members"), F.col("shingles")).alias("blocks"),
+        cut(F.col("members") - F.col("top.members"), F.col("shingles") - F.col("top_shingles")).alias("left_blocks"),
+    )
+    inside = sized.join(materialize(split, "split"), "cluster").withColumn("outside", F.col("label") != F.col("top"))
+    owners = signed.join(nodes.select("node", "doc_id"), ["node", "doc_id"], "left_semi").select("node", "owner").dropDuplicates(["node"])
     rows = inside.join(owners, "node").join(sets, "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("cluster", "blk", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "node", "n", "label", "owner", "set")
-    return rows.groupBy("cluster", "b1", "b2").applyInPandas(lambda pdf: _across(pdf, threshold), "a binary, b binary").distinct()
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = lambda c: F.array(F.pmod(F.xxhash64("node"), F.col(c)).cast("int"))
+    shown = ["cluster", "is_left", "b1", "b2", "node", "n", "label", "outside", "owner", "set"]
+    rights = rows.withColumn("is_left", F.lit(False)).withColumn("b1", F.explode(upto("left_blocks"))).withColumn("b2", F.explode(own("blocks")))
+    lefts = rows.filter("outside").withColumn("is_left", F.lit(True)).withColumn("b1", F.explode(own("left_blocks"))).withColumn("b2", F.explode(upto("blocks")))
+    met = rights.select(shown).unionByName(lefts.select(shown)).groupBy("cluster", "b1", "b2")
+    return met.applyInPandas(lambda pdf: _across(pdf, threshold), "a binary, b binary").distinct()
 
 
 def _named(signed: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cases that a shortened job gets wrong."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -114,3 +115,56 @@ def test_rules_of_four_tokens_fire(spark):
     rules = url_rules.mine(spark.createDataFrame(items, "items array<string>"))
     assert [r[0] for r in rules] == [tuple(four)]
     assert url_rules.RuleIndex(rules).fires([*four, "p:e"])
+
+
+def _brute_classes(rows: list[tuple[int, str | None]], threshold: float = 0.8) -> dict[int, int]:
+    """Class of each document by the exact Jaccard of all pairs of word shingles that share one."""
+    sets: dict[int, frozenset] = {}
+    for k, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[k] = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    up = {k: k for k in sets}
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    by_shingle: dict[tuple, list[int]] = {}
+    for k, own in sets.items():
+        for x in own:
+            by_shingle.setdefault(x, []).append(k)
+    met: Counter = Counter()
+    for held in by_shingle.values():
+        met.update((a, b) for i, a in enumerate(held) for b in held[i + 1 :])
+    for (a, b), n in met.items():
+        if n >= threshold * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    return {k: root(k) for k in sets}
+
+
+def test_classes_are_those_of_brute_force(spark):
+    """A whole table; every document's class, and by it the recall of near copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = _brute_classes([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.classes(docs).collect()}
+    near = [k for k, c in want.items() if k != c]
+    assert len(near) > 20
+    assert got == want
+
+
+def test_blocks_and_the_shuffled_plan_give_the_same_classes(spark, monkeypatch):
+    """Chains of texts that are linked through neighbours only, cut into many blocks, without a broadcast."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[2 * k : 2 * k + 100])) for k in range(120)]  # neighbours share 94 of 98 shingles
+    rows += [(1000 + k, " ".join([*words[:60], *(f"o{k}x{j}" for j in range(40))])) for k in range(60)]  # a shared passage, no copies
+    monkeypatch.setattr(prob_minhash, "BLOCK", 8)
+    monkeypatch.setattr(prob_minhash, "BLOCK_SHINGLES", 900)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in prob_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == _brute_classes(rows)
