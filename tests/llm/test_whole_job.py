@@ -1,6 +1,7 @@
 """Cases that a shortened job gets wrong."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -168,3 +169,41 @@ def test_blocks_and_the_shuffled_plan_give_the_same_classes(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert got == _brute_classes(rows)
+
+
+def test_urls_against_brute_force(spark):
+    """Every page of a table: host, path, longest rule, and the mined verdict, by plain loops."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    index = url_rules.learn(pages)
+    for r in url_rules.judge(pages).collect():
+        url = r["url"] or ""
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.split(r"[/?#]", rest)[0].lower() if rest else ""
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        fits = [(len(h + p), h + p, v) for v, h, p in url_rules.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        items = [f"h:{x}" for x in host.split(".") if x] + [f"p:{x[0] + '#' * (len(x) - 1) if re.fullmatch('[0-9]+', x) else x}" for x in re.split(r"[^0-9A-Za-z\x80-\U0010ffff]+", path) if x]
+        items += [f"q:{x.split('=')[0]}" for x in url.partition("#")[0].partition("?")[2].split("&") if x]
+        _, rule, verdict = max(fits, default=(0, None, "block" if index.fires(items) else "allow"))
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict)
+
+
+def test_mined_rules_hold_on_urls_left_out(spark):
+    """Rules from four fifths of the pages, against the hand-written verdicts of the last fifth."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    fold = F.crc32(F.col("page_id").cast("string").cast("binary")) % 5
+    index = url_rules.learn(pages.filter(fold != 1))
+    parts = pages.filter(fold == 1).select("url", url_rules.host_of(F.col("url")).alias("host"), url_rules.path_of(F.col("url")).alias("path"))
+    items = url_rules.tokens(F.col("url"), F.col("host"), F.col("path"))
+    both = parts.select(url_rules.by_hand(F.col("host"), F.col("path"))[1].alias("want"), url_rules.mined_verdict(index, items).alias("got")).filter("want IS NOT NULL")
+    n, right = both.count(), both.filter("want = got").count()
+    print(f"mined verdicts right on {right} of {n} URLs left out")
+    assert n > 100 and right / n >= 0.95
+
+
+def test_many_urls_of_one_long_path_are_mined_in_time(spark):
+    long = "http://big.com/de/" + "/".join(f"part{k}" for k in range(30))
+    rows = [(k, long + f"?id={k}") for k in range(400)] + [(1000 + k, f"http://other.org/x{k % 7}/y") for k in range(400)] + [(2000, "http://big.net/" + "a" * 200_000), (2001, "http://sub.net/part7?x"), (2001, "http://sub.net/part7?x")]
+    out = [(r["page_id"], r["verdict"]) for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect() if r["page_id"] >= 2000]
+    assert sorted(out) == [(2000, "block"), (2001, "block"), (2001, "block")] or sorted(out) == [(2000, "allow"), (2001, "block"), (2001, "block")]
+    assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert [r["verdict"] for r in url_rules.judge(spark.createDataFrame([(1, None)], "page_id long, url string")).collect()] == ["allow"]
