@@ -244,10 +244,15 @@ def _across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"])
 
 
+def signed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, node, n (shingles), bands, owner (registers) of each row."""
+    return _blobs(docs, key, text).mapInArrow(_sign, _shape(docs, key))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node, class_id, class_size: a row per document."""
-    signed = materialize(_blobs(docs, key, text).mapInArrow(_sign, _shape(docs, key)), "signatures")
-    nodes = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = materialize(signed(docs, key, text), "signatures")
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "texts")
     member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     leaders = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -261,10 +266,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sets = materialize(sets.mapInArrow(_sets, "node binary, set array<long>"), "sets").dropDuplicates(["node"])
     edges = materialize(_verified(star.filter("sized").select("a", "b"), sets, threshold), "links")
     labels = components(edges)
-    more = materialize(_rest(clusters, labels, nodes, signed, sets, threshold), "links")
+    more = materialize(_rest(clusters, labels, nodes, rows, sets, threshold), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
-    return _named(signed, labels)
+    return _named(rows, labels)
 
 
 def _shape(docs: DataFrame, key: str) -> str:
