@@ -2,7 +2,7 @@
 
 A table written here cuts the lineage: a lost executor costs a re-read, not a
 recomputation.  The folder is the session's ``spark.checkpoint.dir``; only where
-that is unset (tests, a laptop) one is made under the local temp folder.
+that is unset and the master is local (tests, a laptop) one is made under the local temp folder.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="arbora-")
     return _LOCAL["dir"]
