@@ -57,9 +57,54 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def from_binary_words(words: Column, dim: int) -> Column:
+    """1.0 for each set bit and -1.0 for the others."""
+    def bit(k: int) -> Column:
+        width = min(32, dim - k // 32 * 32)  # the last word may be short
+        return F.shiftright(F.get(words, k // 32), width - 1 - k % 32).bitwiseAND(F.lit(1).cast("long"))
+
+    return F.array(*[F.when(bit(k) == 1, 1.0).otherwise(-1.0) for k in range(dim)])
+
+
+def value_range(rows, vector: str):
+    """One row (low, high) of all components: what ``int8`` needs."""
+    v = F.col(vector).cast("array<double>")
+    return rows.agg(F.min(F.array_min(v)).alias("low"), F.max(F.array_max(v)).alias("high"))
+
+
+_OFFSET, _PRIME, _MASK = 2166136261, 16777619, 2**32 - 1
+
+
+def _units(text: Column) -> Column:
+    """UTF-16 code units of a text."""
+    h = F.hex(F.encode(text, "UTF-16BE"))
+    n = (F.length(h) / 4).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substr(h, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _fnv_step(h: Column, c: Column) -> Column:
+    return (h.bitwiseXOR(c) * _PRIME).bitwiseAND(F.lit(_MASK))
+
+
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters' codes (the basic plane; UTF-16 units agree there)."""
-    prime, mask = 16777619, 2**32 - 1
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    step = lambda h, c: (h.bitwiseXOR(c.cast("long")) * prime).bitwiseAND(F.lit(mask))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), step)
+    """32-bit FNV-1a over the UTF-16 code units."""
+    return F.aggregate(_units(text), F.lit(_OFFSET).cast("long"), _fnv_step)
+
+
+def fnv1a_pair(text: Column) -> Column:
+    """Struct of h1, and of h2 that also folds its upper half in at each unit."""
+    start = F.struct(F.lit(_OFFSET).cast("long").alias("h1"), F.lit(_OFFSET).cast("long").alias("h2"))
+
+    def step(h: Column, c: Column) -> Column:
+        two = _fnv_step(h["h2"], c)
+        return F.struct(_fnv_step(h["h1"], c).alias("h1"), two.bitwiseXOR(F.shiftright(two, 16)).alias("h2"))
+
+    return F.aggregate(_units(text), start, step)
+
+
+def hash_hex(h: Column) -> Column:
+    return F.lpad(F.lower(F.hex(h)), 8, "0")
+
+
+def shard_of(text: Column, shards: int = 256) -> Column:
+    return F.pmod(fnv1a(text), F.lit(shards))

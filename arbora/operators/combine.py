@@ -21,6 +21,20 @@ def merge_union(sets: list[DataFrame], key: str) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_set", "_nth")
 
 
+def union_all(sets: list[DataFrame]) -> DataFrame:
+    """Every row of every set, with the ordinal of its set."""
+    rows = None
+    for k, s in enumerate(sets):
+        s = s.withColumn("set_no", F.lit(k))
+        rows = s if rows is None else rows.unionByName(s)
+    return rows
+
+
+def aggregate_sets(sets: list[DataFrame], key: str, field: str, function: str, pre_merge: bool = False) -> DataFrame:
+    """An aggregate over several result sets: of their merge, or of all their rows if ``pre_merge``."""
+    return aggregate(union_all(sets) if pre_merge else merge_union(sets, key), field, function)
+
+
 def merge_intersection(sets: list[DataFrame], key: str) -> DataFrame:
     """Rows of the first set whose key every set has."""
     out = sets[0]
@@ -51,8 +65,8 @@ def quorum(rows: DataFrame, key: str, least: int, strict: bool = False) -> DataF
 
 
 def aggregate(rows: DataFrame, field: str, function: str, group: list[str] | None = None) -> DataFrame:
-    """sum, avg, min, max or count of the numeric values of a field; nothing gives 0."""
-    c = F.col(field).cast("double")
+    """sum, avg, min, max or count of the values of a field that are numbers; others are skipped, nothing gives 0."""
+    c = F.col(field).try_cast("double")
     agg = {"sum": F.sum(c), "avg": F.avg(c), "min": F.min(c), "max": F.max(c), "count": F.count(c)}[function]
     return rows.groupBy(*(group or [])).agg(F.coalesce(agg, F.lit(0)).alias("value"))
 
@@ -99,6 +113,27 @@ def read_cursor(token: str, query: str, now: float | None = None) -> tuple[objec
     return last, offset
 
 
+def read_offset(token: str | None) -> int:
+    """The offset of a plain cursor; 0 for what is no cursor."""
+    try:
+        return max(0, int(json.loads(base64.b64decode((token or "").encode()))["offset"]))
+    except (ValueError, KeyError, TypeError):
+        return 0
+
+
+def offset_cursor(offset: int) -> str:
+    return base64.b64encode(json.dumps({"offset": offset}).encode()).decode()
+
+
+def level_stats(chunks: DataFrame, level: str = "level") -> DataFrame:
+    """Chunks, rows and bytes by level."""
+    return chunks.groupBy(level).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_rows").alias("n_rows"), F.sum("size").alias("size"))
+
+
+def without_metadata(rows: DataFrame, names: tuple[str, ...] = ("_namespace", "_local_id")) -> DataFrame:
+    return rows.drop(*names)
+
+
 def expand_refs(rows: DataFrame, ref: str, entities: DataFrame, key: str) -> DataFrame:
     """``rows`` with the entity that ``ref`` names as a struct, null where there is none."""
     packed = entities.select(F.col(key).alias("_k"), F.struct(*entities.columns).alias(f"{ref}_entity"))

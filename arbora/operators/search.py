@@ -25,10 +25,106 @@ def sanitize(query: str) -> str:
     return " ".join(q.split()[:100])
 
 
+#: Folders of a written index; a token's folder follows from its first two characters, so that a prefix reads one.
+FOLDERS = 64
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf, dl): one row per document and token."""
-    listed = docs.select(key, tokens(F.col(text)).alias("ts"))
-    return listed.select(key, F.size("ts").alias("dl"), F.explode("ts").alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """(token, key, tf, dl, places): one row per document and token, with the positions of the token."""
+    ts = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
+    listed = docs.select(key, ts.alias("ts")).select(key, F.size(F.array_remove("ts", "")).alias("dl"), (F.get("ts", F.lit(0)) == "").cast("int").alias("lead"), F.posexplode("ts").alias("at", "token"))
+    held = listed.filter("token != ''").groupBy("token", key, "dl").agg(F.sort_array(F.collect_list(F.col("at") - F.col("lead"))).alias("places"))
+    return held.select("token", key, F.size("places").alias("tf"), "dl", "places")
+
+
+def folder_of(token: Column) -> Column:
+    return F.pmod(F.crc32(F.substring(token, 1, 2).cast("binary")), F.lit(FOLDERS)).cast("int")
+
+
+def _less(places: str, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
+class TextIndex:
+    """An inverted index written as Parquet: postings by folder and sorted by token, and the table's totals.
+
+    A query reads the row groups of its own tokens in their folders; Parquet statistics skip the rest.
+    """
+
+    def __init__(self, spark, path: str, key: str):
+        self.key = key
+        self.rows = spark.read.parquet(f"{path}/postings")
+        self.totals = spark.read.parquet(f"{path}/totals")
+
+    @classmethod
+    def write(cls, docs: DataFrame, key: str, text: str, path: str, stem: bool = False) -> TextIndex:
+        """Build and open an index; ``stem`` adds a plain stem of each token as ``stem``."""
+        rows = postings(docs, key, text).withColumn("folder", folder_of(F.col("token")))
+        rows = rows.withColumn("stem", stem_of(F.col("token"))) if stem else rows
+        # sorted within tasks of a hash of token and key: a hot token spreads over tasks, each folder gets a file of each
+        rows.repartitionByRange("folder", "token", key).sortWithinPartitions("folder", "token").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        size = F.size(F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), ""))
+        docs.agg(F.count(F.col(text)).alias("n"), F.sum(size).alias("length")).write.mode("overwrite").parquet(f"{path}/totals")
+        return cls(docs.sparkSession, path, key)
+
+    def _of(self, terms: list[str]) -> DataFrame:
+        folders = [r[0] for r in self.rows.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(folder_of(F.col("t"))).distinct().collect()]
+        return self.rows.filter(F.col("folder").isin(folders) & F.col("token").isin(terms))
+
+    def bm25(self, terms: list[str], k: int | None = None, offset: int = 0) -> DataFrame:
+        """(key, score) of documents with any term, best first if ``k`` is given."""
+        found = self._of(terms)
+        df = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        scored = found.join(F.broadcast(df), "token").join(F.broadcast(self.totals))  # a row per term, and one row
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") * F.col("n") / F.col("length")))
+        out = scored.groupBy(self.key).agg(F.sum(idf * weight).alias("score"))
+        return out if k is None else out.orderBy(F.desc("score"), self.key).offset(offset).limit(k)
+
+    def any_of(self, terms: list[str]) -> DataFrame:
+        return self._of(terms).select(self.key).distinct()
+
+    def all_of(self, terms: list[str]) -> DataFrame:
+        want = len(set(terms))
+        return self._of(terms).groupBy(self.key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == want).select(self.key)
+
+    def prefix(self, prefix: str) -> DataFrame:
+        """Documents with a token that begins so; two characters or more read one folder."""
+        rows = self.rows.filter(F.startswith("token", F.lit(prefix)))
+        if len(prefix) > 1:
+            rows = rows.filter(F.col("folder") == F.lit(self.rows.sparkSession.range(1).select(folder_of(F.lit(prefix))).first()[0]))
+        return rows.select(self.key).distinct()
+
+    def phrase(self, terms: list[str]) -> DataFrame:
+        """Documents in which the terms follow each other: positions, less each term's place, that all terms share."""
+        place = F.lit(None).cast("array<int>")
+        for t in set(terms):
+            begins = [_less("places", i) for i, x in enumerate(terms) if x == t]
+            own = begins[0]
+            for more in begins[1:]:
+                own = F.array_intersect(own, more)
+            place = F.when(F.col("token") == t, own).otherwise(place)
+        starts = self._of(terms).select(self.key, "token", F.explode(place).alias("start")).filter("start >= 0")
+        return starts.groupBy(self.key, "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(set(terms))).select(self.key).distinct()
+
+    def boolean(self, must: list[str] = (), should: list[str] = (), must_not: list[str] = (), phrases: list[list[str]] = (), prefixes: list[str] = ()) -> DataFrame:
+        """Documents with all of ``must``, every phrase and prefix, any of ``should`` (if given), and none of ``must_not``."""
+        parts = ([self.all_of(list(must))] if must else []) + [self.phrase(p) for p in phrases] + [self.prefix(p) for p in prefixes] + ([self.any_of(list(should))] if should else [])
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.join(p, self.key, "left_semi")
+        return out.join(self.any_of(list(must_not)), self.key, "left_anti") if must_not else out
+
+    def stemmed(self, term: str) -> DataFrame:
+        """Documents with a token of the term's stem."""
+        return self.rows.filter(F.col("stem") == stem_of(F.lit(term))).select(self.key).distinct()
+
+
+def stem_of(token: Column) -> Column:
+    """A plain English stem: plural and verb endings go from tokens that keep three letters; for matching, not for reading."""
+    out = F.regexp_replace(token, r"(?<=\w{3})(sses|ies)$", "")
+    out = F.regexp_replace(out, r"(?<=\w{3})(ingly|edly|ing|ed|es|s|ly)$", "")
+    return F.regexp_replace(out, r"(?<=\w{2})([bdfgmnprt])\1$", "$1")
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k: int | None = None) -> DataFrame:
@@ -91,25 +187,42 @@ def within_radius(rows: DataFrame, lat: str, lng: str, at: tuple[float, float],
 
 
 def normalized(score: Column, source: str) -> Column:
+    """A score from 0 to 1: of text above 0 it is s / (1 + s), of vectors it is cut, of distances it decays from 1."""
     if source == "fts":
-        return F.abs(score) / (1 + F.abs(score))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) if source == "vector" else F.exp(-score)
+        return F.when(score > 0, score / (1 + score)).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) if source == "vector" else F.when(score > 0, F.exp(-score)).otherwise(1.0)
 
 
-def fuse_rrf(sources: dict[str, DataFrame], key: str, k: int = RRF_K) -> DataFrame:
-    """Reciprocal rank fusion of (key, score) tables, best score first in each."""
+def fuse_rrf(sources: dict[str, DataFrame], key: str, k: int = RRF_K, limit: int = 1000) -> DataFrame:
+    """Reciprocal rank fusion of the ``limit`` best of each (key, score) table, best score first in each.
+
+    Each list is cut by a top-k, so that ranking it is bounded whatever the size of the tables.
+    """
     rows = None
     for name, s in sources.items():
-        s = s.groupBy(key).agg(F.max("score").alias("score")).withColumn("source", F.lit(name))
+        s = s.groupBy(key).agg(F.max("score").alias("score")).orderBy(F.desc("score"), key).limit(limit).withColumn("source", F.lit(name))
         rows = s if rows is None else rows.unionByName(s)
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), key))
     return rows.withColumn("rank", rank).groupBy(key).agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
 
 
-def fuse_weighted(sources: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:
-    """Weighted mean over all weights; the primary source weighs most in the sum."""
+def fuse_weighted(sources: dict[str, tuple[DataFrame, float]], key: str, present: bool = False) -> DataFrame:
+    """Weighted mean over all weights, or over those of the sources ``present`` for a key (weight above 0; none gives 0).
+
+    The primary source weighs most in the sum.
+    """
     rows, total = None, sum(w for _, w in sources.values())
     for name, (s, w) in sources.items():
-        s = s.groupBy(key).agg(F.max("score").alias("score")).select(key, (F.col("score") * w).alias("part"), F.lit(name).alias("source"))
+        s = s.groupBy(key).agg(F.max("score").alias("score")).select(key, (F.col("score") * w).alias("part"), F.lit(float(w)).alias("weight"), F.lit(name).alias("source"))
         rows = s if rows is None else rows.unionByName(s)
-    return rows.groupBy(key).agg((F.sum("part") / total).alias("score"), F.max_by("source", F.struct("part", "source")).alias("primary_source"))
+    counted = F.col("weight") > 0
+    mean = F.coalesce(F.sum(F.when(counted, F.col("part"))) / F.sum(F.when(counted, F.col("weight"))), F.lit(0.0)) if present else F.sum("part") / total
+    return rows.groupBy(key).agg(mean.alias("score"), F.max_by("source", F.struct("part", "source")).alias("primary_source"))
+
+
+def contains_name(rows: DataFrame, columns: list[str], text: str, key: str, limit: int = 50) -> DataFrame:
+    """Rows one of whose names holds a text, whatever its case; the first ``limit`` by key."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(text.lower()))
+    return rows.filter(hit).orderBy(key).limit(limit)

@@ -1,24 +1,25 @@
 """Traversals: joins of a frontier with an edge view.
 
-Walks loop on the driver over lazy joins; every few hops the visited set is written to the
-shared checkpoint folder, which cuts the lineage and survives a lost executor.
+Walks loop on the driver over lazy joins; each frontier is written to the shared checkpoint
+folder once, which cuts the lineage and survives a lost executor.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CUT_EVERY = 3
+from arbora.sources.files import shared_folder
+
+#: Frontiers after which what was visited is written as one table, so that plans stay small.
+CUT_EVERY = 8
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's shared folder; a local one only where none is set."""
+    """``df`` checkpointed in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="arbora-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -38,14 +39,12 @@ def path(frontier: DataFrame, steps: list[DataFrame], distinct: bool = True) ->
 
 def bounded_walk(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(key, depth): everything within ``depth`` hops at its least depth, the start at 0."""
-    visited = start.distinct().withColumn("depth", F.lit(0))
+    visited = cut(start.distinct().withColumn("depth", F.lit(0)))
     frontier = visited.select("key")
     for level in range(1, depth + 1):
-        frontier = hop(frontier, edges).join(visited, "key", "left_anti")
-        if level % CUT_EVERY == 0 or level == depth:
-            frontier = cut(frontier)
-            if frontier.isEmpty():
-                break
+        frontier = cut(hop(frontier, edges).join(visited.select("key"), "key", "left_anti"))
+        if frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier.withColumn("depth", F.lit(level)))
         if level % CUT_EVERY == 0:
             visited = cut(visited)

@@ -81,6 +81,90 @@ def spo(triples: DataFrame, subject: str, predicate: str | None = None, versions
     return alive(rows) if versions == "latest" else rows
 
 
+def current(triples: DataFrame, subject: str, predicate: str) -> DataFrame:
+    """The newest version of one (subject, predicate); a tombstone if that is the newest."""
+    return latest(triples.filter((F.col("subject") == subject) & (F.col("predicate") == predicate)))
+
+
+def page(rows: DataFrame, order: str = "seq", limit: int = 1000, after: int | None = None) -> tuple[DataFrame, Column]:
+    """The first ``limit`` rows after a cursor, by ``order``, and the expression of the next cursor.
+
+    The cursor is a pushed filter, so that a page costs one top-k whatever its number.
+    """
+    left = rows if after is None else rows.filter(F.col(order) > after)
+    return left.orderBy(order).limit(limit), F.max(order)
+
+
+def spo_page(triples: DataFrame, subject: str, predicate: str | None = None, limit: int = 1000, after: int | None = None) -> DataFrame:
+    """All versions of a subject in the order they were written, a page at a time."""
+    return page(spo(triples, subject, predicate), limit=limit, after=after)[0]
+
+
+def pos_page(triples: DataFrame, predicate: str, op: str | None = None, value: object = None, limit: int = 1000, after: int | None = None) -> DataFrame:
+    return page(pos(triples, predicate, op, value), limit=limit, after=after)[0]
+
+
+def osp_page(triples: DataFrame, target: str, limit: int = 1000, after: int | None = None) -> DataFrame:
+    return page(osp(triples, target), limit=limit, after=after)[0]
+
+
+def _batch(keys: DataFrame, key: str, rows: DataFrame, fields: list[str], out: str) -> DataFrame:
+    """A row per key with an array of its rows, empty where it has none."""
+    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(out))
+    empty = F.array().cast(listed.schema[out].dataType)
+    return keys.select(key).distinct().join(listed, key, "left").withColumn(out, F.coalesce(out, empty))
+
+
+def spo_by_subject(triples: DataFrame, ids: DataFrame) -> DataFrame:
+    """(subject, triples) for each subject asked for; all versions."""
+    found = value_text(triples.join(ids.distinct(), "subject", "left_semi"))
+    return _batch(ids, "subject", found, ["predicate", "value", "timestamp"], "triples")
+
+
+def osp_by_target(triples: DataFrame, targets: DataFrame) -> DataFrame:
+    """(obj_ref, sources) for each target asked for."""
+    found = triples.filter(F.col("obj_type") == REF).join(targets.distinct(), "obj_ref", "left_semi")
+    return _batch(targets, "obj_ref", found, ["subject", "predicate"], "sources")
+
+
+def prefixed(triples: DataFrame, prefix: str) -> DataFrame:
+    """Triples of the subjects that begin with ``prefix``; an empty one gives all."""
+    return triples.filter(F.startswith("subject", F.lit(prefix))) if prefix else triples
+
+
+def insert(triples: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with new rows appended; columns that they lack are null."""
+    return triples.unionByName(new, allowMissingColumns=True)
+
+
+def upsert(triples: DataFrame, changes: DataFrame, timestamp: Column) -> DataFrame:
+    """New versions: (subject, predicate, obj_type, value columns) stamped and appended."""
+    return insert(triples, changes.withColumn("timestamp", timestamp))
+
+
+def retract(triples: DataFrame, keys: DataFrame, timestamp: Column) -> DataFrame:
+    """Tombstones of the (subject, predicate) pairs that exist, appended."""
+    gone = triples.join(keys.select("subject", "predicate").distinct(), ["subject", "predicate"], "left_semi").select("subject", "predicate").distinct()
+    return insert(triples, gone.select("subject", "predicate", *_object(NULL, None, ""), timestamp.alias("timestamp")))
+
+
+def exists(triples: DataFrame) -> DataFrame:
+    """(subject, predicate) pairs that have a live value."""
+    return alive(triples).select("subject", "predicate").distinct()
+
+
+def first_values(triples: DataFrame, predicate: str) -> DataFrame:
+    """(subject, value): the least live value of a predicate."""
+    return value_text(alive(triples.filter(F.col("predicate") == predicate))).groupBy("subject").agg(F.min("value").alias("value"))
+
+
+def predicate_stats(triples: DataFrame, predicate: str) -> DataFrame:
+    """count of the subjects that have the predicate; sum and avg of the values that are numbers."""
+    values = first_values(triples, predicate)
+    number = F.col("value").try_cast("double")
+    return values.agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum(number), F.lit(0.0)).alias("sum"), F.coalesce(F.avg(number), F.lit(0.0)).alias("avg"))
+
+
 def spo_batch(triples: DataFrame, ids: DataFrame) -> DataFrame:
     """Latest triples of many subjects (column ``subject`` of ids)."""
     return alive(triples.join(ids, "subject", "left_semi"))
@@ -128,6 +212,7 @@ def counts(triples: DataFrame) -> DataFrame:
     return triples.agg(F.count_distinct("subject").alias("n_entities"), F.count(F.lit(1)).alias("n_triples"))
 
 
-def postings(triples: DataFrame, key: str = "obj_ref") -> DataFrame:
-    """Subjects by (predicate, key) as sorted sets."""
-    return triples.filter(F.col(key).isNotNull()).groupBy("predicate", key).agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+def postings(triples: DataFrame, key: str = "obj_ref", chunks: int = 1) -> DataFrame:
+    """Subjects by (predicate, key) as sorted sets; a set in so many chunks, by a hash of the subject, that hot keys fit."""
+    chunk = F.pmod(F.xxhash64("subject"), F.lit(chunks)).cast("int").alias("chunk")
+    return triples.filter(F.col(key).isNotNull()).groupBy("predicate", key, chunk).agg(F.sort_array(F.collect_set("subject")).alias("subjects"))

@@ -28,6 +28,8 @@ class EdgeType:
     src: str
     dst: str
     load: Callable[[], DataFrame]
+    #: Column of the table of ``src`` that names ``dst``, where the edge lives in that table: each ``src`` has one.
+    column: str = ""
 
 
 @dataclass
@@ -60,17 +62,17 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     c.entities["order"] = EntityType("order", lambda: read("orders"), "o_orderkey")
     c.entities["turn"] = EntityType("turn", lambda: read("conversations").withColumn("turn_key", F.col("conv_id") * TURN + F.col("turn")), "turn_key")
 
-    def edge(predicate: str, src: str, dst: str, table: str, a: str, b: str, distinct: bool = False) -> None:
+    def edge(predicate: str, src: str, dst: str, table: str, a: str, b: str, distinct: bool = False, own: bool = False) -> None:
         def load() -> DataFrame:
             e = read(table).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"))
             return e.distinct() if distinct else e
 
-        c.edge_types[predicate] = EdgeType(predicate, src, dst, load)
+        c.edge_types[predicate] = EdgeType(predicate, src, dst, load, b if own else "")
 
-    edge("inRegion", "nation", "region", "nation", "n_nationkey", "n_regionkey")
-    edge("inNation", "customer", "nation", "customer", "c_custkey", "c_nationkey")
-    edge("supplierNation", "supplier", "nation", "supplier", "s_suppkey", "s_nationkey")
-    edge("placedBy", "order", "customer", "orders", "o_orderkey", "o_custkey")
+    edge("inRegion", "nation", "region", "nation", "n_nationkey", "n_regionkey", own=True)
+    edge("inNation", "customer", "nation", "customer", "c_custkey", "c_nationkey", own=True)
+    edge("supplierNation", "supplier", "nation", "supplier", "s_suppkey", "s_nationkey", own=True)
+    edge("placedBy", "order", "customer", "orders", "o_orderkey", "o_custkey", own=True)
     edge("containsPart", "order", "part", "lineitem", "l_orderkey", "l_partkey")
     edge("suppliedBy", "order", "supplier", "lineitem", "l_orderkey", "l_suppkey")
     edge("supplies", "supplier", "part", "lineitem", "l_suppkey", "l_partkey", True)

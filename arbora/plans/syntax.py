@@ -138,7 +138,10 @@ class _Parser:
                 self.take("]")
             elif self.met("{"):
                 node = Expand(node, self.fields())
-            elif self.met("*"):
+            elif self.now.kind == "*":
+                if not _follows_hop(node):
+                    raise self.fail("a recursion repeats a hop, and there is none before it")
+                self.i += 1
                 node = self.recursion(node)
             else:
                 raise self.fail(f"unexpected {self.now.text!r}")
@@ -205,6 +208,12 @@ class _Parser:
         return {"true": True, "false": False}.get(t.text.lower(), t.text)
 
 
+def _follows_hop(node: object) -> bool:
+    while isinstance(node, (Filter, Recurse)):
+        node = node.source
+    return isinstance(node, Hop)
+
+
 def _unquoted(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text[1:-1])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from arbora.functions import geo, typed_json, urls, vectors
 from arbora.operators import access, combine, search, traverse, triples
 from arbora.plans.catalog import BASE, iri, star_catalog
 from arbora.plans.compiler import run
+from arbora.sources.files import shared_folder
 from arbora.streaming import cdc, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,17 +74,23 @@ def _mixed_edges(e: DataFrame) -> DataFrame:
     return traverse.undirected(e.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst")))
 
 
-@query("recurse_cyclic_min_depth", """
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_suppkey <= 40),
+_LEVELS = """
+WITH e AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem),
 u AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e),
-w AS (SELECT CAST(2 AS BIGINT) AS key, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN u ON src = key WHERE depth < 3)
-SELECT key, min(depth) AS depth FROM w GROUP BY key""")
+l0 AS (SELECT CAST(2 AS BIGINT) AS key),
+l1 AS (SELECT DISTINCT dst AS key FROM u JOIN l0 ON src = key),
+l2 AS (SELECT DISTINCT dst AS key FROM u JOIN l1 ON src = key),
+l3 AS (SELECT DISTINCT dst AS key FROM u JOIN l2 ON src = key)
+SELECT key, min(depth) AS depth FROM (SELECT key, 0 AS depth FROM l0 UNION ALL SELECT key, 1 FROM l1 UNION ALL SELECT key, 2 FROM l2 UNION ALL SELECT key, 3 FROM l3) GROUP BY key"""
+
+
+@query("recurse_cyclic_min_depth", _LEVELS)
 def recurse_cyclic_min_depth(spark, sf):
-    edges = star_catalog(spark, sf).edges("supplies").filter("src <= 40")
-    return traverse.bounded_walk(spark.sql("SELECT 2L AS key"), _mixed_edges(edges), 3)
+    pairs = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))  # a walk needs no distinct edges
+    return traverse.bounded_walk(spark.sql("SELECT 2L AS key"), _mixed_edges(pairs), 3)
 
 
-@query("recurse_cyclic_all_edges")
+@query("recurse_cyclic_all_edges", _LEVELS)
 def recurse_cyclic_all_edges(spark, sf):
     return traverse.bounded_walk(spark.sql("SELECT 2L AS key"), _mixed_edges(star_catalog(spark, sf).edges("supplies")), 3)
 
@@ -100,11 +108,13 @@ def walk_bag(spark, sf):
 
 @query("lake_traversal_capped", """
 WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
-c AS (SELECT src, dst FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5)
-SELECT DISTINCT dst AS key FROM c WHERE src IN (1, 2, 3) ORDER BY key LIMIT 20""")
+c AS (SELECT src * 2 AS src, dst * 2 + 1 AS dst FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 5
+UNION ALL SELECT dst * 2 + 1, src * 2 FROM e QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 5),
+f AS (SELECT DISTINCT dst AS key FROM c WHERE src IN (2, 4, 6) ORDER BY key LIMIT 10)
+SELECT DISTINCT dst AS key FROM c JOIN f ON src = key ORDER BY key LIMIT 20""")
 def lake_traversal_capped(spark, sf):
-    start = spark.sql("SELECT explode(array(1L, 2L, 3L)) AS key")
-    return traverse.capped_walk(start, star_catalog(spark, sf).edges("supplies"), 1, 5, 10, 20)
+    start = spark.sql("SELECT explode(array(2L, 4L, 6L)) AS key")
+    return traverse.capped_walk(start, _mixed_edges(star_catalog(spark, sf).edges("supplies")), 2, 5, 10, 20)
 
 
 @query("neighbours_both", "SELECT 'inNation' AS predicate, c_custkey AS key FROM customer WHERE c_nationkey = 3 UNION ALL SELECT 'inRegion', n_regionkey FROM nation WHERE n_nationkey = 3")
@@ -124,8 +134,9 @@ _S = f"'{BASE}customer/' || c_custkey"
 _N = f"'{BASE}nation/' || c_nationkey"
 query("spo_scan", f"SELECT {_S} AS subject, 'name' AS predicate, c_name AS value FROM customer WHERE c_custkey = 5 UNION ALL SELECT {_S}, 'segment', c_mktsegment FROM customer WHERE c_custkey = 5 UNION ALL SELECT {_S}, 'inNation', {_N} FROM customer WHERE c_custkey = 5")(
     lambda spark, sf: triples.value_text(triples.spo(customer_triples(spark, sf), f"{BASE}customer/5")).filter("predicate != 'balance'").select("subject", "predicate", "value"))
-query("lookup_batch", "SELECT count(*) AS n FROM (SELECT unnest(range(4)) FROM customer WHERE c_custkey IN (1, 2, 9999999))")(
-    lambda spark, sf: triples.spo_batch(customer_triples(spark, sf), spark.sql(f"SELECT explode(array('{BASE}customer/1', '{BASE}customer/2', '{BASE}customer/9999999')) AS subject")).agg(F.count(F.lit(1)).alias("n")))
+query("lookup_batch", f"SELECT k.subject, CASE WHEN c_custkey IS NULL THEN '' ELSE 'balance=' || c_acctbal || '|inNation=' || {_N} || '|name=' || c_name || '|segment=' || c_mktsegment END AS triples FROM (SELECT unnest(['{BASE}customer/1', '{BASE}customer/2', '{BASE}customer/9999999']) AS subject) k LEFT JOIN customer ON k.subject = {_S}")(
+    lambda spark, sf: triples.spo_by_subject(customer_triples(spark, sf), spark.sql(f"SELECT explode(array('{BASE}customer/1', '{BASE}customer/2', '{BASE}customer/9999999')) AS subject"))
+    .select("subject", F.array_join(F.transform("triples", lambda t: F.concat(t["predicate"], F.lit("="), t["value"])), "|").alias("triples")))
 query("pos_value", f"SELECT {_S} AS subject FROM customer WHERE c_mktsegment = 'BUILDING'")(
     lambda spark, sf: triples.pos(customer_triples(spark, sf), "segment", "=", "BUILDING").select("subject"))
 query("pos_range", f"SELECT {_S} AS subject FROM customer WHERE c_acctbal BETWEEN 100 AND 500")(
@@ -189,20 +200,27 @@ query("expand_refs_left", "SELECT o_orderkey, c_name FROM orders LEFT JOIN custo
     lambda spark, sf: combine.expand_refs(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(spark, sf, "customer"), "c_custkey").select("o_orderkey", F.col("o_custkey_entity.c_name").alias("c_name")))
 
 # functions
-_H = r"lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ':\d+$', ''))"
+_A = r"regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')"
+_SCHEME = r"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
+_H = rf"lower(regexp_replace({_A}, ':\d*$', ''))"
+_PORT = rf"CASE WHEN ({_SCHEME} || regexp_extract({_A}, ':(\d+)$', 1)) IN ('http80', 'https443') THEN '' ELSE regexp_extract({_A}, ':(\d+)$', 1) END"
 _P = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-_Q = r"regexp_extract(url, '^[^?#]*(\?[^#]*)', 1)"
-_FR = r"regexp_extract(url, '(#.*)$', 1)"
+_Q = r"regexp_extract(url, '^[^?#]*(\?[^#]+)', 1)"
+_FR = r"regexp_extract(url, '(#.+)$', 1)"
 _R = f"array_to_string(list_reverse(string_split({_H}, '.')), ',')"
+_SEGS = f"list_filter(string_split({_P}, '/'), lambda s: s != '')"
+_ORIGIN = f"{_SCHEME} || '://' || {_H} || CASE WHEN {_PORT} = '' THEN '' ELSE ':' || {_PORT} END"
 query("url_parts", f"SELECT page_id, {_H} AS host, {_P} AS path, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS local_id FROM pages")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.part(F.col("url"), 3).alias("path"), urls.local_id(F.col("url")).alias("local_id")))
-query("sort_key", f"SELECT page_id, {_R} || CASE WHEN {_P} IN ('', '/') THEN '' ELSE ',' || {_P} END || CASE WHEN {_Q} = '' THEN '' ELSE ',' || {_Q} END || CASE WHEN {_FR} = '' THEN '' ELSE ',' || {_FR} END AS k FROM pages")(
+query("sort_key", f"SELECT page_id, {_R} || CASE WHEN {_PORT} IN ('', '80', '443') THEN '' ELSE ',:' || {_PORT} END || array_to_string(list_transform({_SEGS}, lambda s: ',/' || s), '') || CASE WHEN {_Q} = '' THEN '' ELSE ',' || {_Q} END || CASE WHEN {_FR} = '' THEN '' ELSE ',' || {_FR} END AS k FROM pages")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", urls.sort_key(F.col("url")).alias("k")))
-query("storage_path", f"SELECT page_id, '.' || array_to_string(list_reverse(string_split({_H}, '.')), '/.') || {_P} AS p FROM pages")(
+query("storage_path", f"SELECT page_id, '.' || array_to_string(list_reverse(string_split({_H}, '.')), '/.') || CASE WHEN {_P} = '' THEN '/' ELSE {_P} END AS p FROM pages")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", urls.storage_path(F.col("url")).alias("p")))
-query("namespace_of", f"SELECT page_id, regexp_extract(url, '^([A-Za-z]+)://', 1) || '://' || {_H} || CASE WHEN len(list_filter(string_split({_P}, '/'), lambda s: s != '')) > 1 THEN '/' || list_filter(string_split({_P}, '/'), lambda s: s != '')[1] ELSE '' END AS ns FROM pages")(
+query("namespace_of", f"SELECT page_id, {_ORIGIN} || '/' || CASE WHEN len({_SEGS}) > 1 THEN {_SEGS}[1] || '/' ELSE '' END AS ns FROM pages")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", urls.namespace(F.col("url")).alias("ns")))
-query("validate_ids", r"SELECT page_id, CASE WHEN url IS NULL OR url = '' THEN 'EMPTY' WHEN length(url) > 2048 THEN 'TOO_LONG' WHEN NOT regexp_matches(url, '^https?://[^/?#]+') THEN 'INVALID_URL' WHEN regexp_matches(url, '^https?://[^/?#]*@') THEN 'HAS_USER_INFO' END AS error FROM pages")(
+query("validate_ids", r"""SELECT page_id, CASE WHEN url IS NULL OR trim(url) = '' THEN 'EMPTY' WHEN length(url) > 2048 THEN 'TOO_LONG' WHEN regexp_matches(url, '[\x00-\x1F\x7F\x{200B}-\x{200D}\x{FEFF}\x{AD}\x{FFFD}]') THEN 'INVALID_CHARACTERS'
+WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') OR (regexp_matches(url, '^(?i)https?:') AND NOT regexp_matches(url, '^(?i)https?://[^/?#]+')) THEN 'INVALID_URL' WHEN NOT regexp_matches(url, '^(?i)https?:') THEN 'INVALID_PROTOCOL'
+WHEN regexp_matches(url, '^[^/]*//([^/?#]*@)?\.\.?(:\d*)?([/?#]|$)') THEN 'INVALID_HOSTNAME' WHEN regexp_matches(url, '^[^/]*//[^/?#]*@') THEN 'HAS_USER_INFO' END AS error FROM pages""")(
     lambda spark, sf: table(spark, sf, "pages").select("page_id", urls.entity_id_error(F.col("url")).alias("error")))
 query("fnv1a", "SELECT c_custkey, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(c_mktsegment, ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS h FROM customer")(
     lambda spark, sf: table(spark, sf, "customer").select("c_custkey", vectors.fnv1a(F.col("c_mktsegment")).alias("h")))
@@ -314,24 +332,63 @@ def _tf(t: str) -> str:
 
 
 _BM = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(2))
-query("fts_bm25", f"WITH c AS (SELECT doc_id, len(ts) AS dl, {_tf('the')} AS tf0, {_tf('und')} AS tf1 FROM {_TD}), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum((tf0 > 0)::INT) AS df0, sum((tf1 > 0)::INT) AS df1 FROM c) SELECT doc_id, round({_BM}, 6) AS score FROM c, s WHERE greatest(tf0, tf1) > 0")(
+_INDEXES: dict[tuple[str, str], search.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf: str) -> search.TextIndex:
+    """The written index of the documents: built once per session and table, read by every text query."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _INDEXES:
+        docs = table(spark, sf, "documents").select("doc_id", "text")
+        _INDEXES[at] = search.TextIndex.write(docs, "doc_id", "text", f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}", stem=True)
+    return _INDEXES[at]
+
+
+_BM25 = f"(WITH c AS (SELECT doc_id, len(ts) AS dl, {_tf('the')} AS tf0, {_tf('und')} AS tf1 FROM {_TD}), s AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum((tf0 > 0)::INT) AS df0, sum((tf1 > 0)::INT) AS df1 FROM c) SELECT doc_id, {_BM} AS score FROM c, s WHERE greatest(tf0, tf1) > 0)"
+query("fts_bm25", f"SELECT doc_id, round(score, 6) AS score FROM {_BM25}")(
+    lambda spark, sf: text_index(spark, sf).bm25(["the", "und"]).select("doc_id", F.round("score", 6).alias("score")))
+query("fts_bm25_scan", f"SELECT doc_id, round(score, 6) AS score FROM {_BM25}")(
     lambda spark, sf: search.bm25(table(spark, sf, "documents"), "doc_id", "text", ["the", "und"]).select("doc_id", F.round("score", 6).alias("score")))
-query("fts_and", f"SELECT doc_id FROM {_TD} WHERE list_has_all(ts, ['the', 'with'])")(lambda spark, sf: search.match_all(table(spark, sf, "documents"), "text", ["the", "with"]).select("doc_id"))
-query("fts_phrase", f"SELECT doc_id FROM {_TD} WHERE contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ')")(lambda spark, sf: search.match_phrase(table(spark, sf, "documents"), "text", ["of", "the"]).select("doc_id"))
-query("fts_prefix", f"SELECT doc_id FROM {_TD} WHERE len(list_filter(ts, lambda t: starts_with(t, 'stup'))) > 0")(lambda spark, sf: search.match_prefix(table(spark, sf, "documents"), "text", "stup").select("doc_id"))
+query("fts_bm25_page", f"SELECT doc_id, round(score, 6) AS score FROM {_BM25} ORDER BY round(score, 9) DESC, doc_id LIMIT 10 OFFSET 5")(
+    lambda spark, sf: text_index(spark, sf).bm25(["the", "und"]).orderBy(F.round("score", 9).desc(), "doc_id").offset(5).limit(10).select("doc_id", F.round("score", 6).alias("score")))
+query("fts_and", f"SELECT doc_id FROM {_TD} WHERE list_has_all(ts, ['the', 'with'])")(lambda spark, sf: text_index(spark, sf).all_of(["the", "with"]))
+query("fts_or", f"SELECT doc_id FROM {_TD} WHERE list_has_any(ts, ['with', 'und'])")(lambda spark, sf: text_index(spark, sf).any_of(["with", "und"]))
+query("fts_phrase", f"SELECT doc_id FROM {_TD} WHERE contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ')")(lambda spark, sf: text_index(spark, sf).phrase(["of", "the"]))
+query("fts_prefix", f"SELECT doc_id FROM {_TD} WHERE len(list_filter(ts, lambda t: starts_with(t, 'stup'))) > 0")(lambda spark, sf: text_index(spark, sf).prefix("stup"))
 query("fts_not", f"SELECT doc_id FROM {_TD} WHERE NOT list_has_any(ts, ['the', 'der'])")(lambda spark, sf: search.match_none(table(spark, sf, "documents"), "text", ["the", "der"]).select("doc_id"))
+query("fts_boolean", f"SELECT doc_id FROM {_TD} WHERE list_has_all(ts, ['the']) AND list_has_any(ts, ['with', 'und']) AND contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ') AND NOT list_has_any(ts, ['der'])")(
+    lambda spark, sf: text_index(spark, sf).boolean(must=["the"], should=["with", "und"], must_not=["der"], phrases=[["of", "the"]]))
+_STEM = r"regexp_replace(regexp_replace(regexp_replace(t, '(\w{3})(?:sses|ies)$', '\1'), '(\w{3})(?:ingly|edly|ing|ed|es|s|ly)$', '\1'), '(\w{2})(?:(b)b|(d)d|(f)f|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)$', '\1\2\3\4\5\6\7\8\9')"
+query("fts_stemmed", f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(ts) AS t FROM {_TD}) WHERE {_STEM} = 'document'")(lambda spark, sf: text_index(spark, sf).stemmed("documents"))
+
+# fusion of what three searchers find over the same ids: text, vectors, places
+_VEC = "(SELECT vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings)"
+_TOP = {"fts": f"(SELECT id, round(score, 9) AS score FROM (SELECT doc_id AS id, score FROM {_BM25}) ORDER BY round(score, 9) DESC, id LIMIT 50)", "vector": f"(SELECT id, round(score, 9) AS score FROM {_VEC} ORDER BY round(score, 9) DESC, id LIMIT 50)"}
+
+
+def searchers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """(id, score) of the 50 best of a text query and of a vector query."""
+    e, q = _asked(spark, sf)
+    found = {"fts": text_index(spark, sf).bm25(["the", "und"]).select(F.col("doc_id").alias("id"), "score"), "vector": e.select(F.col("vec_id").alias("id"), vectors.cosine_similarity(F.col("embedding"), q).alias("score"))}
+    return {name: s.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(50) for name, s in found.items()}
+
+
+query("hybrid_rrf", f"SELECT id, round(sum(1 / (60 + r)), 9) AS score FROM ({' UNION ALL '.join(f'SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM {t}' for t in _TOP.values())}) GROUP BY 1")(
+    lambda spark, sf: search.fuse_rrf(searchers(spark, sf), "id").select("id", F.round("score", 9).alias("score")))
+_NORMAL = {"fts": "score / (1 + score)", "vector": "greatest(0.0, least(1.0, score))"}
+_PARTS = " UNION ALL ".join(f"SELECT id, {_NORMAL[n]} * {w} AS p, {w} AS w, '{n}' AS source FROM {_TOP[n]}" for n, w in (("fts", 1.0), ("vector", 2.0)))
 
 
-def _two(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf, "customer").filter("c_acctbal > 0")
-    return c.select("c_custkey", F.col("c_acctbal").alias("score")), c.filter("c_nationkey < 10").select("c_custkey", (F.col("c_custkey") % 100).cast("double").alias("score"))
+def _weighted(present: bool):
+    def f(spark, sf):
+        found = {n: s.select("id", search.normalized(F.col("score"), n).alias("score")) for n, s in searchers(spark, sf).items()}
+        return search.fuse_weighted({"fts": (found["fts"], 1.0), "vector": (found["vector"], 2.0)}, "id", present).select("id", F.round("score", 6).alias("score"), "primary_source")
+
+    return f
 
 
-_A, _B2 = "(SELECT c_custkey, c_acctbal AS score FROM customer WHERE c_acctbal > 0)", "(SELECT c_custkey, (c_custkey % 100)::DOUBLE AS score FROM customer WHERE c_acctbal > 0 AND c_nationkey < 10)"
-query("hybrid_rrf", f"SELECT c_custkey, round(sum(1 / (60 + r)), 9) AS score FROM (SELECT c_custkey, row_number() OVER (ORDER BY score DESC, c_custkey) AS r FROM {_A} UNION ALL SELECT c_custkey, row_number() OVER (ORDER BY score DESC, c_custkey) FROM {_B2}) GROUP BY 1")(
-    lambda spark, sf: search.fuse_rrf(dict(zip(("a", "b"), _two(spark, sf), strict=True)), "c_custkey").select("c_custkey", F.round("score", 9).alias("score")))
-query("hybrid_weighted", f"SELECT c_custkey, round(sum(p) / 3.0, 6) AS score, arg_max(source, p) AS primary_source FROM (SELECT c_custkey, score AS p, 'a' AS source FROM {_A} UNION ALL SELECT c_custkey, score * 2.0, 'b' FROM {_B2}) GROUP BY 1")(
-    lambda spark, sf: search.fuse_weighted({"a": (_two(spark, sf)[0], 1.0), "b": (_two(spark, sf)[1], 2.0)}, "c_custkey").select("c_custkey", F.round("score", 6).alias("score"), "primary_source"))
+query("hybrid_weighted", f"SELECT id, round(sum(p) / 3.0, 6) AS score, arg_max(source, p) AS primary_source FROM ({_PARTS}) GROUP BY 1")(_weighted(False))
+query("hybrid_weighted_present", f"SELECT id, round(sum(p) / sum(w), 6) AS score, arg_max(source, p) AS primary_source FROM ({_PARTS}) GROUP BY 1")(_weighted(True))
 
 # change log and windows
 
@@ -355,5 +412,11 @@ query("window_sliding", "SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS
     lambda spark, sf: windows.windowed(table(spark, sf, "events"), "ts", "2 hours", "1 hour").withColumn("total", F.round("total", 4)))
 query("session_gap", "SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL)::INT AS new FROM events)) GROUP BY user_id, s")(
     lambda spark, sf: windows.sessions(table(spark, sf, "events"), "ts", "user_id", "30 minutes"))
-query("rate_limit_fixed_window")(lambda spark, sf: windows.fixed_window_limit(table(spark, sf, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))), "user_id", "ms", "event_id", 3, 3_600_000))
+query("rate_limit_fixed_window", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events),
+w AS (SELECT user_id, min(ms) AS s FROM e GROUP BY 1 UNION ALL SELECT w.user_id, min(e.ms) FROM w JOIN e ON e.user_id = w.user_id AND e.ms >= w.s + 3600000 GROUP BY w.user_id, w.s)
+SELECT event_id, row_number() OVER (PARTITION BY user_id, s ORDER BY ms, event_id) <= 3 AS allowed FROM (SELECT e.*, w.s FROM e ASOF JOIN w ON e.user_id = w.user_id AND e.ms >= w.s)""")(
+    lambda spark, sf: windows.fixed_window_limit(table(spark, sf, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))), "user_id", "ms", "event_id", 3, 3_600_000))
 query("json_props", "SELECT event_id, json_valid(props) AS ok FROM events")(lambda spark, sf: table(spark, sf, "events").select("event_id", F.expr("try_parse_json(props) IS NOT NULL").alias("ok")))
+
+from arbora import api_queries  # noqa: E402, F401 - registers more queries

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.operators.triples import melt
 
 
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: ``spark.checkpoint.dir``; a local one only where that is unset and one machine does all."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the whole cluster shares")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="arbora-"))
+    return _LOCAL[0]
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True, null: str = r"\N") -> DataFrame:
     """Tab-separated rows, gzip or plain; short rows end in nulls, long ones are cut."""
     return spark.read.schema(schema).csv(path, sep="\t", header=header, nullValue=null, quote='"', escape='"', mode="PERMISSIVE")

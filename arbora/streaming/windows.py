@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,19 +28,29 @@ def hit_rates(events: DataFrame, ts: str, hit, width: str = "5 minutes") -> Data
 
 
 def fixed_window_limit(events: DataFrame, client: str, ts_ms: str, key: str, limit: int, window_ms: int) -> DataFrame:
-    """(key, allowed): at most ``limit`` events of a client in a window that its first event opens."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts_ms, key])
-        allowed, opened, seen = [], None, 0
-        for at in pdf[ts_ms]:
-            if opened is None or at - opened >= window_ms:
-                opened, seen = at, 0
-            allowed.append(seen < limit)
-            seen += seen < limit
-        return pd.DataFrame({key: pdf[key], "allowed": allowed})
-
-    return events.select(client, ts_ms, key).groupBy(client).applyInPandas(fold, f"{key} {events.schema[key].dataType.simpleString()}, allowed boolean")
+    """(key, allowed): at most ``limit`` events of a client in a window that its first event opens.
+
+    A silence of ``window_ms`` always ends a window, so a client's events are cut there and the
+    pieces are folded apart; a task streams its pieces sorted and holds three numbers of state.
+    """
+    order = Window.partitionBy(client).orderBy(ts_ms, key)
+    gap = F.coalesce((F.col(ts_ms) - F.lag(ts_ms).over(order) >= window_ms).cast("long"), F.lit(0).cast("long"))
+    pieces = events.select(client, ts_ms, key).withColumn("_gap", gap).withColumn("_piece", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = pieces.select(F.xxhash64(client, "_piece").alias("_h"), client, "_piece", ts_ms, key)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, opened, seen = None, 0, 0
+        for pdf in batches:
+            allowed = []
+            for c, piece, ms in zip(pdf[client], pdf["_piece"], pdf[ts_ms], strict=True):
+                if (c, piece) != at or ms - opened >= window_ms:
+                    at, opened, seen = (c, piece), ms, 0
+                allowed.append(seen < limit)
+                seen += seen < limit
+            yield pd.DataFrame({key: pdf[key], "allowed": allowed})
+
+    spread = pieces.repartition("_h").sortWithinPartitions("_h", client, "_piece", ts_ms, key)
+    return spread.mapInPandas(fold, f"{key} {events.schema[key].dataType.simpleString()}, allowed boolean")
 
 
 def running_total(events: DataFrame, by: str, ts: str, value: str) -> DataFrame:
