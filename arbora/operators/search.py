@@ -29,24 +29,29 @@ def sanitize(query: str) -> str:
 FOLDERS = 64
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, tf, dl, places): one row per document and token, with the positions of the token."""
+def places(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(token, key, at, dl): one row per occurrence of a token, with its position and the document's length."""
     ts = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
-    listed = docs.select(key, ts.alias("ts")).select(key, F.size(F.array_remove("ts", "")).alias("dl"), (F.get("ts", F.lit(0)) == "").cast("int").alias("lead"), F.posexplode("ts").alias("at", "token"))
-    held = listed.filter("token != ''").groupBy("token", key, "dl").agg(F.sort_array(F.collect_list(F.col("at") - F.col("lead"))).alias("places"))
-    return held.select("token", key, F.size("places").alias("tf"), "dl", "places")
+    sized = docs.select(key, ts.alias("ts")).select(key, F.size(F.array_remove("ts", "")).alias("dl"), (F.get("ts", F.lit(0)) == "").cast("int").alias("lead"), "ts")
+    listed = sized.select(key, "dl", "lead", F.posexplode("ts").alias("at", "token"))  # the array itself is not copied to its rows
+    return listed.filter("token != ''").select("token", key, (F.col("at") - F.col("lead")).alias("at"), "dl")
 
 
-def folder_of(token: Column) -> Column:
-    return F.pmod(F.crc32(F.substring(token, 1, 2).cast("binary")), F.lit(FOLDERS)).cast("int")
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(token, key, tf, dl): one row per document and token."""
+    return _counted(places(docs, key, text), key)
+
 
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy("token", key, "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("token", key, "tf", "dl")
 
-def _less(places: str, by: int) -> Column:
-    return F.transform(places, lambda p: p - by)
+
+def folder_of(token: Column) -> Column:
+    return F.pmod(F.crc32(F.substring(token, 1, 2).cast("binary")), F.lit(FOLDERS)).cast("int")
 
 
 class TextIndex:
-    """An inverted index written as Parquet: postings by folder and sorted by token, and the table's totals.
+    """An inverted index written as Parquet: occurrences and postings by folder, sorted by token, and the table's totals.
 
     A query reads the row groups of its own tokens in their folders; Parquet statistics skip the rest.
     """
@@ -54,22 +59,28 @@ class TextIndex:
     def __init__(self, spark, path: str, key: str):
         self.key = key
         self.rows = spark.read.parquet(f"{path}/postings")
+        self.places = spark.read.parquet(f"{path}/places")
         self.totals = spark.read.parquet(f"{path}/totals")
 
     @classmethod
     def write(cls, docs: DataFrame, key: str, text: str, path: str, stem: bool = False) -> TextIndex:
-        """Build and open an index; ``stem`` adds a plain stem of each token as ``stem``."""
-        rows = postings(docs, key, text).withColumn("folder", folder_of(F.col("token")))
-        rows = rows.withColumn("stem", stem_of(F.col("token"))) if stem else rows
-        # sorted within tasks of a hash of token and key: a hot token spreads over tasks, each folder gets a file of each
-        rows.repartitionByRange("folder", "token", key).sortWithinPartitions("folder", "token").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        """Build and open an index; ``stem`` adds a plain stem of each token to the postings."""
+
+        def stored(rows: DataFrame, name: str) -> None:
+            # ranges of token and key: the rows of a hot token spread over tasks, and a file holds few tokens
+            ranged = rows.withColumn("folder", folder_of(F.col("token"))).repartitionByRange("folder", "token", key)
+            ranged.sortWithinPartitions("folder", "token", key).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/{name}")
+
+        stored(places(docs, key, text), "places")
+        rows = _counted(docs.sparkSession.read.parquet(f"{path}/places"), key)
+        stored(rows.withColumn("stem", stem_of(F.col("token"))) if stem else rows, "postings")
         size = F.size(F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), ""))
         docs.agg(F.count(F.col(text)).alias("n"), F.sum(size).alias("length")).write.mode("overwrite").parquet(f"{path}/totals")
         return cls(docs.sparkSession, path, key)
 
-    def _of(self, terms: list[str]) -> DataFrame:
+    def _of(self, terms: list[str], rows: DataFrame | None = None) -> DataFrame:
         folders = [r[0] for r in self.rows.sparkSession.createDataFrame([(t,) for t in terms], "t string").select(folder_of(F.col("t"))).distinct().collect()]
-        return self.rows.filter(F.col("folder").isin(folders) & F.col("token").isin(terms))
+        return (self.rows if rows is None else rows).filter(F.col("folder").isin(folders) & F.col("token").isin(terms))
 
     def bm25(self, terms: list[str], k: int | None = None, offset: int = 0) -> DataFrame:
         """(key, score) of documents with any term, best first if ``k`` is given."""
@@ -96,16 +107,10 @@ class TextIndex:
         return rows.select(self.key).distinct()
 
     def phrase(self, terms: list[str]) -> DataFrame:
-        """Documents in which the terms follow each other: positions, less each term's place, that all terms share."""
-        place = F.lit(None).cast("array<int>")
-        for t in set(terms):
-            begins = [_less("places", i) for i, x in enumerate(terms) if x == t]
-            own = begins[0]
-            for more in begins[1:]:
-                own = F.array_intersect(own, more)
-            place = F.when(F.col("token") == t, own).otherwise(place)
-        starts = self._of(terms).select(self.key, "token", F.explode(place).alias("start")).filter("start >= 0")
-        return starts.groupBy(self.key, "start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(set(terms))).select(self.key).distinct()
+        """Documents in which the terms follow each other: all of them, less its place each, begin at one position."""
+        order = self.rows.sparkSession.createDataFrame(list(enumerate(terms)), "nth int, token string")
+        begins = self._of(terms, self.places).join(F.broadcast(order), "token").groupBy(self.key, (F.col("at") - F.col("nth")).alias("start"))
+        return begins.agg(F.count_distinct("nth").alias("n")).filter(F.col("n") == len(terms)).select(self.key).distinct()
 
     def boolean(self, must: list[str] = (), should: list[str] = (), must_not: list[str] = (), phrases: list[list[str]] = (), prefixes: list[str] = ()) -> DataFrame:
         """Documents with all of ``must``, every phrase and prefix, any of ``should`` (if given), and none of ``must_not``."""
