@@ -83,13 +83,14 @@ def fit(sample: np.ndarray, norm: float, bits: int = BITS, seed: int = 7) -> Cod
     return coder
 
 
-def choose_radius(coder: Coder, sample: np.ndarray, queries: np.ndarray, k: int, target: float = TARGET) -> int:
-    """The least radius that holds ``target`` of the sample queries' true neighbours in the sample.
+def choose_radius(coder: Coder, sample: np.ndarray, asked: np.ndarray, k: int, target: float = TARGET) -> int:
+    """The least radius that holds ``target`` of the true neighbours in the sample of its rows ``asked``.
 
     A sample's neighbours lie farther off than those in the whole table: the radius errs to the safe side.
     """
+    queries = sample[asked]
     score = queries @ sample.T
-    score[score >= coder.norm**2 * (1 - 1e-9)] = -np.inf  # the query itself, or its copies
+    score[np.arange(len(asked)), asked] = -np.inf  # the query itself
     best = np.argsort(-score, axis=1)[:, : min(k, len(sample))]
     far = _POP[coder.codes(queries, True)[:, None, :] ^ coder.codes(sample)[best]].sum(2)
     return int(np.quantile(far, target))
@@ -202,7 +203,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 20, bits: int = BITS) -
     sample = np.array([r["v"] for r in drawn], float).reshape(-1, row["d"])
     unique = np.unique(sample, axis=0)
     coder = fit(unique if len(unique) > 1 else np.vstack([sample, np.eye(row["d"])]), float(np.sqrt(stats["m"])), bits)
-    tried = unique[:: max(1, len(unique) // SAMPLE_QUERIES)]
+    tried = np.arange(0, len(unique), max(1, len(unique) // SAMPLE_QUERIES))
     coder.radius = choose_radius(coder, unique, tried, k) if len(unique) > k else bits
     blocks = max(-(-stats["n"] // BLOCK), min(PARALLEL, -(-stats["n"] // LEAST)))
     asks = -(-asked // QUERY_BLOCK)
