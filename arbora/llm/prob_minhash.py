@@ -10,7 +10,7 @@ are 1, however often a shingle is repeated, so that registers estimate what is v
 ``BANDS`` and ``ROWS`` suit thresholds of 0.8 or more; under a lower one, bands miss more pairs.
 
 Only distinct texts are compared.  In each bucket every text is verified against one
-leader, chosen anew in every band; linked texts form components.  Texts that share buckets,
+leader, the first of the bucket in one of ``ORDERS`` fixed orders, so that a large group has few leaders; linked texts form components.  Texts that share buckets,
 directly or through others, form clusters; where a cluster holds several components, those
 texts that are outside its greatest component meet the whole cluster in blocks, bounded by texts
 and shingles.  Inside a block every pair of two components that shares a band is verified, and
@@ -38,6 +38,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
+#: Orders that leaders are chosen by: a text meets about so many, however many buckets it is in.
+ORDERS = 2
 #: Bytes of text that are hashed at once.
 CHUNK = 2_000_000
 #: Texts, and their shingles, on each side of a block on average at most; a block is one task's work.
@@ -255,7 +257,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "texts")
     member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    leaders = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket"), "node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    leaders = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))), "node", "n")).alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     leaders = materialize(leaders.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "leaders")
     star = member.join(leaders, "bucket").filter(F.col("node") != F.col("lead"))
     sized = F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
