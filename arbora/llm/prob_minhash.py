@@ -200,19 +200,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of an edge: the least node of its component.
 
-    Least labels spread over edges and then jump to their own label's label; each round is a
-    written table, and a round that changes nothing is the last.
+    In each round every node goes to the least of itself and its neighbours, and on to where that
+    one goes; the edges between the nodes that are left are the next round's, until none are.
+    The rounds shrink, so that their joins together are a few times the edges.
     """
-    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    pairs = lambda e, a, b: e.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
+    left, rounds = materialize(pairs(edges, "a", "b"), "edges"), []
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        near = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = materialize(near.join(jump, "label").select("node", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("moved")), "labels")
-        labels = new.select("node", "label")
-        if new.filter("moved").isEmpty():
-            return labels
+        near = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("near"))
+        onward = near.select(F.col("node").alias("near"), F.col("near").alias("label"))
+        rounds.append(materialize(near.join(onward, "near").select("node", "label"), "labels"))
+        to = lambda name: rounds[-1].select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+        left = materialize(pairs(left.join(to("a"), "a").join(to("b"), "b"), "la", "lb"), "edges")
+        if left.isEmpty():
+            break
+    labels = rounds.pop()
+    while rounds:
+        labels = _onward(rounds.pop(), labels)
+    return materialize(labels, "labels")
+
+
+def _onward(labels: DataFrame, after: DataFrame) -> DataFrame:
+    """Labels followed through those of a later round."""
+    return labels.join(after.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+
+
+def _extended(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels after further links, between components or texts without one."""
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+    met = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    after = components(met.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    return materialize(_onward(labels, after).unionByName(after.join(labels, "node", "left_anti").select("node", "label")), "labels")
 
 
 def _across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -270,7 +288,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     labels = components(edges)
     more = materialize(_rest(clusters, labels, nodes, rows, sets, threshold), "links")
     if not more.isEmpty():
-        labels = components(edges.unionByName(more))
+        labels = _extended(labels, more)
     return _named(rows, labels)
 
 

@@ -207,3 +207,30 @@ def test_many_urls_of_one_long_path_are_mined_in_time(spark):
     assert sorted(out) == [(2000, "block"), (2001, "block"), (2001, "block")] or sorted(out) == [(2000, "allow"), (2001, "block"), (2001, "block")]
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert [r["verdict"] for r in url_rules.judge(spark.createDataFrame([(1, None)], "page_id long, url string")).collect()] == ["allow"]
+
+
+def test_components_of_paths_stars_and_random_edges(spark):
+    rng = np.random.default_rng(3)
+    names = [f"{x:08d}".encode() for x in rng.permutation(400)]
+    edges = [(i, i + 1) for i in range(90)] + [(100, i) for i in range(101, 180)] + [tuple(rng.integers(200, 300, 2).tolist()) for _ in range(60)]
+    edges += [(1, 0), (5, 5), (310, 311)]
+    root = list(range(400))
+    of = lambda i: i if root[i] == i else of(root[i])
+    for a, b in edges:
+        root[of(a)] = of(b)
+
+    def expected(edges):
+        groups = {}
+        for i in {i for e in edges if e[0] != e[1] for i in e}:
+            groups.setdefault(of(i), []).append(i)
+        return {names[i]: min(names[j] for j in g) for g in groups.values() for i in g}
+
+    table = lambda edges: spark.createDataFrame([(bytearray(names[a]), bytearray(names[b])) for a, b in edges], "a binary, b binary")
+    read = lambda df: {bytes(r["node"]): bytes(r["label"]) for r in df.collect()}
+    labels = prob_minhash.components(table(edges))
+    assert read(labels) == expected(edges)
+    more = [(0, 110), (320, 321), (321, 310), (330, 331)]
+    for a, b in more:
+        root[of(a)] = of(b)
+    assert read(prob_minhash._extended(labels, table(more))) == expected(edges + more)
+    assert prob_minhash.components(table([])).count() == 0
