@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.scratch import materialize
+from arbora.llm.scratch import materialize, settings
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,6 +44,13 @@ ORDERS = 2
 CHUNK = 2_000_000
 #: Texts, and their shingles, on each side of a block on average at most; a block is one task's work.
 BLOCK, BLOCK_SHINGLES = 512, 300_000
+#: Spark's runtime Bloom filter in front of the join of texts with candidates: 4 MB at any size, 8 bits a
+#: candidate up to four million of them.  With more, more texts pass it; the join behind it is exact.
+BLOOM = {
+    "runtime.bloomFilter.enabled": "true", "runtimeFilter.number.threshold": "1",
+    "runtime.bloomFilter.expectedNumItems": "4000000", "runtime.bloomFilter.numBits": str(1 << 25),
+    "runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "runtime.bloomFilter.creationSideThreshold": "1t",
+}
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -281,9 +288,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     sized = F.least("n", "lead_n") >= threshold * F.greatest("n", "lead_n")
     star = materialize(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), sized.alias("sized")).distinct(), "pairs")
     clusters = components(star.select("a", "b"))
-    wanted = materialize(clusters.join(nodes.select("node", "doc_id"), "node").select("node", "doc_id"), "wanted")
-    sets = _blobs(docs, key, text).join(wanted, ["node", "doc_id"], "left_semi")
-    sets = materialize(sets.mapInArrow(_sets, "node binary, set array<long>"), "sets").dropDuplicates(["node"])
+    wanted = materialize(clusters.join(nodes.select("node", "doc_id", "n"), "node").select("node", "doc_id", "n"), "wanted")
+    sets = _candidates(_blobs(docs, key, text), wanted).mapInArrow(_sets, "node binary, set array<long>")
+    with settings(docs.sparkSession, {f"spark.sql.optimizer.{k}": v for k, v in BLOOM.items()}):
+        sets = materialize(sets, "sets").dropDuplicates(["node"])
     edges = materialize(_verified(star.filter("sized").select("a", "b"), sets, threshold), "links")
     labels = components(edges)
     more = materialize(_rest(clusters, labels, nodes, rows, sets, threshold), "links")
@@ -296,6 +304,11 @@ def _shape(docs: DataFrame, key: str) -> str:
     return f"doc_id {docs.schema[key].dataType.simpleString()}, node binary, n int, bands array<long>, owner binary"
 
 
+def _candidates(blobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of candidates.  Spark filters texts ahead of a join only where the other side has a predicate, which n > 0 is."""
+    return blobs.join(wanted.filter("n > 0"), ["doc_id", "node"], "left_semi")
+
+
 def _rest(clusters: DataFrame, labels: DataFrame, nodes: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links inside clusters of texts that share buckets, between components that have none yet."""
     sized = clusters.select("node", F.col("label").alias("cluster")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
